@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmill.functions.text import BLANK_CLASS, strip
+from weirmill.functions.text import BLANK_CLASS
 from weirmill.session import checked_broadcast
 
-LABEL = "[\\p{L}\\p{N}\\p{M}_-]+"
-#: A link in whole: scheme, user, one www label before a longer host, the host (captured), closing dot, port, the rest.
+LABEL = "[\\p{L}\\p{N}\\p{M}_-]++"
+#: A host as most rows have it: nothing to drop, no www.
+PLAIN = "^(?!www\\.)[a-z0-9_-]++(?:\\.[a-z0-9_-]++)++$"
+#: A link in whole: blanks, scheme, user, one www label before a longer host, the host (captured), closing dot, port, the rest.
 LINK = (
-    "(?s)^(?:(?:[a-z][a-z0-9+.-]*:)?[/\\\\]{2,})?(?:[^/\\\\?#]*@)?(?:www\\.(?=[^./\\\\:?#]+\\.[^./\\\\:?#]))?"
-    f"({LABEL}(?:\\.{LABEL})+)\\.?(?::[0-9]*)?\\.?(?:[/\\\\?#].*)?$"
+    f"(?s)^{BLANK_CLASS}*+(?:(?:[a-z][a-z0-9+.-]*+:)?[/\\\\]{{2,}}+)?(?:[^/\\\\?#@]*+@)*+(?:www\\.(?=[^./\\\\:?#]++\\.[^./\\\\:?#]))?"
+    f"({LABEL}(?:\\.{LABEL})++)\\.?(?::[0-9]*+)?\\.?{BLANK_CLASS}*+(?:[/\\\\?#].*+)?$"
 )
 
 
@@ -23,15 +25,15 @@ def host(c: Column) -> Column:
 
     Blanks, scheme, user, port, path, query, fragment, the closing dot and one leading ``www`` label are dropped and
     the spellings feeds use to defang a link (``hxxp``, ``[.]``, ``(.)``, ``[:]``) are read as the link. A value
-    without at least two labels (filler words, ``n/a``, ``-``) names no host. One pattern reads the value; only rows
-    with brackets or wide characters are rewritten before.
+    without at least two labels (filler words, ``n/a``, ``-``) names no host. Plain hosts, most rows, take one match
+    that can't backtrack; only rows with brackets or wide characters are rewritten before they are read as a link.
     """
-    raw = strip(F.lower(c))
+    raw = F.lower(c)
     link = F.translate(raw, "．。｡：／？＃＠", "...:/?#@")
     link = F.regexp_replace(link, f"{BLANK_CLASS}*[\\[({{]{BLANK_CLASS}*(?:\\.|dot){BLANK_CLASS}*[\\])}}]{BLANK_CLASS}*", ".")
     link = F.regexp_replace(link, "[\\[({](:|://)[\\])}]", "$1")
     link = F.when(raw.rlike("[\\[({．。｡：／？＃＠]"), link).otherwise(raw)
-    return F.try_element_at(F.regexp_extract_all(link, F.lit(LINK), F.lit(1)), F.lit(1))
+    return F.when(raw.rlike(PLAIN), raw).otherwise(F.try_element_at(F.regexp_extract_all(link, F.lit(LINK), F.lit(1)), F.lit(1)))
 
 
 def rule_depth(psl: DataFrame) -> int:
