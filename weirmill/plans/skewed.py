@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmill.operators.skew import two_stage
+from weirmill.plans.sql import URLS
 from weirmill.plans.tables import url_records
 
 
@@ -33,3 +34,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_key_results": p6_key_results}
+
+_KEYED = "select 'domain' as f, host as v, * from u where host is not null union all select 'source', source, * from u where source is not null"
+ORACLES = {
+    "p6_found": f"""with {URLS}, k as ({_KEYED}), n as (select count(distinct record_id) as total from u)
+select f as field_name, v as field_value from k, n group by f, v, total having count(distinct record_id) * 100 >= total""",
+    "p6_key_results": f"""with {URLS}, k as ({_KEYED})
+select f as field_name, v as field_value, count(*) as "rows", count(distinct record_id) as records, count(distinct case when label = 'phishing' then record_id end) as phishing_records,
+  min(collected_at) as min_collected_at, max(collected_at) as max_collected_at, max(cast(floor(epoch(ingested_at)) as bigint) - cast(floor(epoch(collected_at)) as bigint)) as max_delay_s
+from k group by f, v""",
+}
