@@ -15,44 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirmill.functions.shingles import shingle_hashes, word_hashes
 from weirmill.llm.skeleton import words
 
 PASSAGE = 12
 SHINGLE = 5
 #: Passages looked up in one scan of the corpus: a bound on what is sent to every task. More items mean more scans.
 BLOCK = 200_000
-_KEEP = 500_000
-
-
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > _KEEP:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_HASH = _WordHash()
-
-
-def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``k``."""
-    if len(hashes) < k:
-        return np.zeros(0, np.uint64)
-    n = len(hashes) - k + 1
-    got = np.zeros(n, np.uint64)
-    for i in range(k):
-        got = (got ^ hashes[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
-        got ^= got >> np.uint64(29)
-    return got
-
-
-def word_hashes(ws: list[str]) -> np.ndarray:
-    return np.fromiter((_HASH[w] for w in ws), np.uint64, len(ws))
 
 
 def _passages(items: DataFrame) -> DataFrame:
