@@ -49,7 +49,7 @@ def date_audit(df: DataFrame, col: str) -> DataFrame:
     """``(month, rows, missing, invalid, first, last)`` of a date kept as text; rows without a valid date have no month.
     Only this column is read."""
     raw = F.trim(F.col(col).cast("string"))
-    d = df.select(F.nullif(raw, F.lit("")).alias("raw")).withColumn("d", F.when(F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_date(F.substring("raw", 1, 10), F.lit("yyyy-MM-dd"))))
+    d = df.select(F.nullif(raw, F.lit("")).alias("raw")).withColumn("d", F.when(F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_date(F.substring("raw", 1, 10), "yyyy-MM-dd")))
     return d.groupBy(F.trunc("d", "month").alias("month")).agg(
         F.count("*").alias("rows"), F.count_if(F.col("raw").isNull()).alias("missing"),
         F.count_if(F.col("raw").isNotNull() & F.col("d").isNull()).alias("invalid"), F.min("d").alias("first"), F.max("d").alias("last"),

@@ -5,12 +5,18 @@ Rows with a null key or text belong to no group. Empty tables give empty results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirmill.functions.shingles import plain_words, shingle_hashes, word_hashes
 from weirmill.operators.metrics import hash32
 from weirmill.operators.ordered import running
+from weirmill.session import write_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -25,25 +31,36 @@ def exact_duplicates(df: DataFrame, ident: str, text: str) -> DataFrame:
     return t.join(per, "h").select("id", "class_id", "copies")
 
 
-def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """Distinct shingles of ``k`` words, hashed; a shorter text is one shingle."""
-    w = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    return F.when(n >= k, F.array_distinct(many)).when(n > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(id, s, bands)``: sorted distinct shingles of each text and the hash of each MinHash band."""
+    mix = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+    for b in batches:
+        out = []
+        for ident, text in zip(b["id"], b["text"]):
+            h = word_hashes(plain_words(text))
+            s = np.unique(shingle_hashes(h, min(SHINGLE, max(len(h), 1))))  # a shorter text is one shingle
+            if not len(s):
+                continue
+            least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+            for at in range(0, len(s), 4096):
+                x = s[at : at + 4096, None] * mix
+                np.minimum(least, ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=least)
+            bands = shingle_hashes(np.arange(ROWS, dtype=np.uint64), 1)[None, :] ^ least.reshape(BANDS, ROWS)
+            keys = np.array([shingle_hashes(r, ROWS)[0] for r in bands])
+            out.append((ident, s.view(np.int64), keys.view(np.int64)))
+        yield pd.DataFrame(out, columns=["id", "s", "bands"])
 
 
 def near_duplicates(df: DataFrame, ident: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``(id_a, id_b, jaccard)`` of representatives of different texts with shingle similarity of ``threshold`` or more.
 
     Copies of a text are one representative, so a text held by a third of all rows costs one row. Candidates share a
-    band of the MinHash signature; a band bucket of many rows meets itself in blocks keyed by a salt of both sides
-    (AQE splits what is left), and every candidate is verified exactly.
+    band of the MinHash signature and every candidate is verified exactly over whole texts; AQE splits the join of a
+    band that many different texts share.
     """
-    t = df.filter(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("h")).agg(F.min(ident).alias("id"), F.first(text).alias("text"))
-    t = t.select("id", shingles(F.col("text")).alias("s")).filter("s is not null")
-    band = lambda b: F.xxhash64(F.lit(b), *(F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(b * ROWS + r)))) for r in range(ROWS)))  # noqa: B023, E731
-    keys = t.select("id", F.posexplode(F.array(*(band(b) for b in range(BANDS)))).alias("b", "k"))
+    t = df.filter(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("h")).agg(F.min(ident).cast("long").alias("id"), F.first(text).alias("text"))
+    t = write_table(t.select("id", "text").mapInPandas(_signatures, "id long, s array<long>, bands array<long>"), "signatures")
+    keys = t.select("id", F.posexplode("bands").alias("b", "k"))
     pairs = keys.withColumnRenamed("id", "id_a").join(keys.withColumnRenamed("id", "id_b"), ["b", "k"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
     sets = pairs.join(t.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -73,13 +90,16 @@ def folds(df: DataFrame, group: str, label: Column, k: int, seeds: list[int]) ->
     """``(group_id, seed, fold, n, n_pos)``: groups dealt to folds in a seeded order, those with a positive row and those
     without apart, so that classes stay even. With fewer groups than folds of a kind some folds stay empty."""
     per = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("group_id")).agg(F.count("*").alias("n"), F.count_if(label).alias("n_pos"))
-    got = None
-    for seed in seeds:
-        h = hash32(F.lit(seed), F.col("group_id"))
-        for kind in (F.col("n_pos") > 0, F.col("n_pos") == 0):
-            some = running(per.filter(kind), h, {"r": F.lit(1)}, ties=F.asc("group_id")).select("group_id", F.lit(seed).alias("seed"), ((F.col("r") - 1) % k).cast("int").alias("fold"), "n", "n_pos")
-            got = some if got is None else got.unionByName(some)
-    return got
+    per = write_table(per.withColumn("kind", (F.col("n_pos") == 0).cast("int")), "folds")
+    size = {r["kind"]: r["count"] for r in per.groupBy("kind").count().collect()}
+    runs = [(seed, kind) for seed in seeds for kind in (0, 1)]  # all runs stand in one line, one after the other
+    before = F.lit(0).cast("long")
+    for i, _ in enumerate(runs):
+        before = F.when(F.col("run") == i, F.lit(sum(size.get(kind, 0) for _, kind in runs[:i]))).otherwise(before)
+    line = per.select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("run"), F.lit(s).cast("int").alias("seed"), F.lit(kind).alias("of")) for i, (s, kind) in enumerate(runs))))).filter("kind = of")
+    order = F.col("run").cast("long") * F.lit(1 << 32) + hash32(F.col("seed"), F.col("group_id"))
+    got = running(line, order, {"r": F.lit(1)}, ties=F.asc("group_id"))
+    return got.select("group_id", "seed", ((F.col("r") - 1 - before) % k).cast("int").alias("fold"), "n", "n_pos")
 
 
 def leak_check(df: DataFrame, group: str, role: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmill.operators.ordered import running
+from weirmill.session import write_table
 
 
 def hash32(*cols: Column | str) -> Column:
@@ -88,6 +89,7 @@ def bootstrap(scored: DataFrame, group: str, configs: dict[str, float], reps: in
     """
     g = group_counts(scored, group, configs)
     g = running(g, hash32(group), {"i": F.lit(1)}, ties=F.asc(group)).withColumn("i", F.col("i") - 1)
+    g = write_table(g, "bootstrap_groups")
     n = g.count()
     spark = scored.sparkSession
     draws = spark.range(reps * max(n, 1)).select((F.col("id") / max(n, 1)).cast("long").alias("rep"), (hash32(F.lit(seed), F.col("id")) % max(n, 1)).alias("i"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirmill.session import write_table
+
 RANGES = 64
 
 
@@ -13,7 +15,7 @@ def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: b
     """Add, under each name, the sum of the column over this row and all before it in ``order``; equal orders follow
     ``ties``. Rows are cut into ranges at approximate quantiles; a window runs within each range, and the sums of the
     ranges before come from a table of at most ``RANGES`` rows."""
-    d = df.withColumn("__o", order)
+    d = write_table(df.withColumn("__o", order), "ordered")
     cuts = d.agg(F.percentile_approx("__o", [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).first()["c"] or []
     part = F.lit(0)
     for c in sorted(set(cuts)):

@@ -59,7 +59,7 @@ def stale_discard(df: DataFrame) -> DataFrame:
 def debounce(df: DataFrame, key: str, time: str, quiet: Column) -> DataFrame:
     """Rows followed by no other of their key within ``quiet`` seconds: the last of each burst."""
     following = F.lead(time).over(W.partitionBy(key).orderBy(time))
-    return df.withColumn("__n", following).filter(F.col("__n").isNull() | (F.unix_micros(F.col("__n").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp")) > quiet * 1_000_000)).drop("__n")
+    return df.withColumn("__n", following).filter(F.col("__n").isNull() | (F.unix_micros(F.col("__n").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp")) > quiet.cast("long") * 1_000_000)).drop("__n")
 
 
 def rate_limited(df: DataFrame, key: str, time: str, window: str, limit: int) -> DataFrame:
