@@ -5,7 +5,7 @@ form a pattern, of which there are at most two to the number of sources. Token c
 quotas; a pattern's tokens cost nothing the first time, and one more each further time, so that what repeats is spread
 and sources draw on texts of their own first. Then documents are chosen in a seeded order until each flow is met.
 
-Defined results: documents whose source has no target are left out; null text has no tokens; a source without documents
+Defined results: documents whose source has no target are left out; null and empty text has no tokens and is not chosen; a source without documents
 gets nothing and falls short; rows without a document id are left out, a repeated id counts once.
 """
 
@@ -106,7 +106,7 @@ def plan(docs: DataFrame, targets: DataFrame, tokens: Column) -> Plan:
     if len(names) > 62:
         raise ValueError("more than 62 sources")
     d = docs.filter(F.col("doc_id").isNotNull()).withColumn("s", category(F.col("source"))).filter(F.col("s").isin(names))
-    d = d.select("doc_id", F.col("s").alias("source"), tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_id"))
+    d = d.select("doc_id", F.col("s").alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_id")).filter("tokens > 0")
     d = write_table(d.groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "text_id")).alias("v")).select("doc_id", "v.*"), "mix_documents")
     bit = F.lit(0).cast("long")
     for k, s in enumerate(names):
