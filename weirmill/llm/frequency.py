@@ -44,7 +44,7 @@ class TermCounts:
         op = F.coalesce("op", F.lit("add"))
         change = batch.filter(op != "delete").select(*cols, F.lit(1).alias("n"))
         if log is not None:
-            gone = batch.filter(op.isin("replace", "delete") & F.col("record").isNotNull()).select("record").distinct()
+            gone = batch.filter(op.isin("replace", "delete") & F.col("record").isNotNull()).select("record").distinct().hint("merge")
             change = change.unionByName(log.join(gone, "record", "left_semi").select(*cols, (-F.col("n")).alias("n")))
         change = change.groupBy(*cols).agg(F.sum("n").cast("long").alias("n")).filter("n <> 0")
         change.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/log/{version}")
@@ -71,7 +71,7 @@ class TermCounts:
         counts per record and value and the signs need no further shuffle of records."""
         both = change.withColumn("was", F.lit(0).cast("long"))
         if log is not None:
-            touched = log.join(change.select("record").distinct(), "record", "left_semi")
+            touched = log.join(change.select("record").distinct().hint("merge"), "record", "left_semi")  # ids of a batch have no bound: never broadcast
             both = both.unionByName(touched.select("record", *self.fields, F.lit(0).cast("long").alias("n"), F.col("n").alias("was")))
         terms = F.array(F.struct(F.lit(ALL).alias("field"), F.lit(ALL).alias("value")), *(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in self.fields))
         spread = lambda d: d.select("record", "n", "was", F.inline(terms)).filter(F.col("value").isNotNull())
