@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,14 +26,17 @@ def scratch_dir(spark: SparkSession) -> str:
         return held.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="weirmill-")
+    folder = tempfile.mkdtemp(prefix="weirmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    own = "file://" + folder
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{scratch_dir(spark)}/weirmill/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, under the application's own part of it. What is written there serves lazy
+    results, so it stays until that part is removed after the application."""
+    return f"{scratch_dir(spark)}/weirmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
