@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from weirmill.functions import html, urls
 from weirmill.sources import archive, files
 from weirmill.streaming import navigation
@@ -22,6 +23,41 @@ def test_page():
     assert "onclick" not in clean and "mine" not in clean and 'value="s"' not in clean and "script" not in clean
 
 
+TOKENS = [
+    "<title>", "T &amp; t", "</title>", "<body>", "<h1>", "Head", "</h1>", "<!-- <p>no</p> -->", "<p>", "Say 5 &lt; 6", "</p>", '<form action="https://b.test/x">', "Name",
+    '<input type="password" value="s">', "</form>", '<iframe src="/i">', "</iframe>", '<a href="/x?a=1&amp;b=2">', "link", "</a>", "<script>", "var t = 1", "</script>", "end", "</body>", "</html>",
+]
+
+
+def _by_tokens(n):
+    """The profile of the first ``n`` characters, from the tokens that are whole and the part of a cut text."""
+    text, zones, opened, found = [], {"title": [], "h1": [], "form": []}, [], []
+    for t in TOKENS:
+        part, n = t[: max(n, 0)], n - len(t)
+        if part == "<" or (part and part[0] != "<"):
+            words = " ".join(html.entities.unescape(part).split())
+            (zones["title"] if "title" in opened else [] if "script" in opened else text).append(words)
+            for z in {"h1", "form"} & set(opened):
+                zones[z].append(words)
+        elif part == t and t[1] == "/":
+            opened.remove(t[2:-1]) if t[2:-1] in opened else None
+        elif part == t and t[1] != "!":
+            found.append(t)
+            opened.append(t[1:-1].split()[0])
+    count = lambda tag: sum(f.startswith(tag) for f in found)
+    tags = count("<form"), count("<input"), count("<input"), count("<iframe")
+    return (*(" ".join(x) for x in (text, zones["title"], zones["h1"], zones["form"])), *tags, ["/x?a=1&b=2"] * count("<a "), ["https://b.test/x"] * count("<form"))
+
+
+def test_every_page_is_parsed(spark, tmp_path):
+    page = "".join(TOKENS)
+    pages = {str(n): page[:n] for n in range(len(page) + 1)}
+    spark.createDataFrame([*pages.items(), *pages.items(), ("null", None)], "sha256 string, html string").write.parquet(str(tmp_path / "corpus.parquet"))
+    got = {r.sha256: tuple(r)[1:] for r in entry.queries()["page_parsed"](spark, str(tmp_path)).collect()}
+    assert got.pop("null") == (None, None, None, None, None, 0, 0, 0, 0, [], [])
+    assert got == {k: (len(v), *_by_tokens(len(v))) for k, v in pages.items()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<script>", "</script>", "a & b", "<input value='x'>", "<textarea>", "</textarea>", "<div contenteditable>", "</div>", "&amp;", "<a onclick=x href='y'>", "<", '"']), max_size=12))
 def test_clean_is_idempotent(parts):

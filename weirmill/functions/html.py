@@ -1,11 +1,13 @@
 """HTML by parser (Arrow batches) and, for what SQL can check, by patterns. Nothing is executed or fetched.
 
-Null HTML gives null text and zero counts; truncated HTML is read as far as it goes; whole pages are read.
+Null HTML gives null text and zero counts; truncated HTML is read as far as it goes, a tag or comment cut by the end is
+left out; whole pages are read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,6 +20,7 @@ PROFILE = (
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template"}
+_CUT = re.compile(r"<(?:!--.*|[a-z/!?][^>]*)", re.I | re.S)
 
 
 class _Page(HTMLParser):
@@ -70,6 +73,8 @@ def parse(page: str | None) -> tuple:
         return (None, None, None, None, 0, 0, 0, 0, [], [])
     p = _Page()
     p.feed(page)
+    if p.cdata_elem is None and _CUT.fullmatch(p.rawdata):
+        p.rawdata = ""  # else the parser reads it as text
     p.close()
     z = p.zones
     return (_join(p.parts), _join(z["title"]), _join(z["heading"]), _join(z["login"]), *p.n.values(), p.links, p.actions)

@@ -180,12 +180,19 @@ def page_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with c as (select distinct sha256, html from corpus where html is not null) select sha256, length(html) as html_chars, len(regexp_extract_all(html, '(?i)<form[ >]')) as forms, len(regexp_extract_all(html, '(?i)<input[ >]')) as inputs, len(regexp_extract_all(html, '(?i)<input[^>]*type="password"')) as password_inputs from c where ends_with(html, '</html>')""")
 def page_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Parser profile of the distinct whole pages."""
+    """Parser counts of the distinct pages that end whole, the part patterns in SQL can check; ``page_parsed`` is the whole."""
     c = table(spark, d, "corpus").filter(F.col("html").endswith("</html>")).select("sha256", "html").distinct()
     p = c.withColumn("p", html.profile(F.col("html")))
     return p.select("sha256", F.length("html").alias("html_chars"), "p.forms", "p.inputs", "p.password_inputs")
 
 
+@query()
+def page_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Parser profile, all fields, of every distinct page: null and truncated pages too."""
+    c = table(spark, d, "corpus").select("sha256", "html").distinct()
+    return c.withColumn("p", html.profile(F.col("html"))).select("sha256", F.length("html").alias("html_chars"), "p.*")
+
+
 @query()
 def page_signals(spark: SparkSession, d: str) -> DataFrame:
     """Forms with a password and where they send: own, related or foreign host."""
