@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -123,6 +124,18 @@ def test_matching(spark, rows):
     assert "NestedLoop" not in matching.boundary_matches(hosts, "h", rules)._jdf.queryExecution().toString()
 
 
+def test_names_in_any_spelling(spark, rows):
+    dic = spark.createDataFrame([("O1", unicodedata.normalize("NFD", "Sao Khuê Bank"), ["SKB"], None), ("O2", "Điện", None, ["paypal"])], "org_id string, display_name string, aliases array<string>, service_names array<string>")
+    texts = ["Sao Khuê Bank", unicodedata.normalize("NFD", "SAO KHUÊ BANK"), "Ｓａｏ Khuê Bank", "Sao Khu\u00adê Ba\u200bnk", "sao khue bank", "dien DIEN Điện", "SKB™ 𝗦𝗞𝗕 pay\u2060pal", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = [(i, "O1", "sao khuê bank", 1) for i in range(4)] + [(5, "O2", "điện", 1), (6, "O1", "skb", 2), (6, "O2", "paypal", 1)]
+    assert rows(matching.alias_matches(docs, "id", "t", dic)) == set(found)
+    bare = {r[:4] for r in rows(matching.alias_readings(docs, "id", "t", dic).filter("reading = 'no_accents'").select("id", "org_id", "alias", "occurrences"))}
+    assert bare == {*found, (4, "O1", "sao khuê bank", 1), (5, "O2", "điện", 3)} - {(5, "O2", "điện", 1)}
+    values = spark.createDataFrame([(t,) for t in texts[:4]], "v string")
+    assert rows(matching.fuzzy_aliases(values, "v", dic).select("value", "alias", "distance")) == {("sao khuê bank", "sao khuê bank", 0)}
+
+
 def test_contract(spark):
     ok = '{"request_id":"123e4567-e89b-12d3-a456-426614174000","navigation_id":"n","dom_revision":0,"phase":"url_content","url":"https://a.test/","preprocessing_version":"v1","capture_mode":"rendered_dom","html":"<p>"}'
     cases = {

@@ -1,7 +1,10 @@
-"""Text and category values as column expressions that stay in the JVM."""
+"""Text and category values as column expressions that stay in the JVM; Unicode forms in Arrow batches."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,42 @@ def label(c: Column) -> Column:
 def blank_pieces(c: Column) -> Column:
     """Number of pieces between blanks of any kind; 0 for null and blank text."""
     return F.coalesce(F.regexp_count(c, F.lit("[^" + BLANK_CLASS[1:-1] + "]+")), F.lit(0)).cast("long")
+
+
+class _Letters(dict):
+    """Code point to the plain letters it stands for, filled by rule as characters are met. Signs keep their form: the
+    letters of a trade mark sign are no part of the word before it."""
+
+    def __missing__(self, code: int) -> str | None:
+        c, to = chr(code), unicodedata.normalize("NFKC", chr(code))
+        unseen = unicodedata.category(c) == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or 0xFE00 <= code <= 0xFE0F or 0x180B <= code <= 0x180F or 0xE0100 <= code <= 0xE01EF
+        wide = unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<small>")) and len(to) == 1
+        self[code] = None if unseen else to if wide or unicodedata.category(c)[0] in "LMN" else c
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
+def one_spelling(text: str) -> str:
+    """Composed, wide and styled letters plain, nothing invisible inside."""
+    return text if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_LETTERS))
+
+
+def without_accents(text: str) -> str:
+    """:func:`one_spelling` without accents, ``đ`` as ``d``."""
+    if text.isascii():
+        return text
+    apart = unicodedata.normalize("NFD", one_spelling(text))
+    return unicodedata.normalize("NFC", "".join(c for c in apart if unicodedata.category(c) != "Mn")).replace("đ", "d").replace("Đ", "D")
+
+
+def spelled(c: Column, accents: bool = True) -> Column:
+    """:func:`one_spelling` or :func:`without_accents` of a column; null stays null."""
+    one = one_spelling if accents else without_accents
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return run(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmill.functions.text import spelled
 from weirmill.session import checked_broadcast
 
 #: Characters that read as another within names.
@@ -12,8 +13,8 @@ CONFUSED, READ_AS = "01", "oi"
 
 
 def plain(c: Column) -> Column:
-    """Lower case, runs of blanks as one; the original stays beside it."""
-    return F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    """One spelling, lower case, runs of blanks as one; the original stays beside it."""
+    return F.trim(F.regexp_replace(F.lower(spelled(c)), "\\s+", " "))
 
 
 def variant(c: Column) -> Column:
@@ -21,28 +22,45 @@ def variant(c: Column) -> Column:
     return F.translate(plain(c), CONFUSED, READ_AS)
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{M}\\p{N}]+"), lambda x: x != "")
+def words(c: Column, accents: bool = True) -> Column:
+    return F.filter(F.split(F.lower(spelled(c, accents)), "[^\\p{L}\\p{M}\\p{N}]+"), lambda x: x != "")
+
+
+def _readings(c: Column) -> Column:
+    """Both readings of ``c``, as rows ``(reading, w)``."""
+    return F.inline(F.array(*(F.struct(F.lit(r).alias("reading"), words(c, accents).alias("w")) for r, accents in (("written", True), ("no_accents", False)))))
 
 
 def names(dictionary: DataFrame) -> DataFrame:
     """``(org_id, alias, n_words)``: display name, aliases and services of every organisation as runs of words."""
+    return _names(dictionary).filter("reading = 'written'").select("org_id", "alias", "n_words").distinct()
+
+
+def _names(dictionary: DataFrame) -> DataFrame:
+    """``(org_id, alias, reading, run, n_words)``: the words of every name in both readings."""
     every = F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("service_names", F.array().cast("array<string>")))
     a = dictionary.select("org_id", F.explode(every).alias("name")).filter("name is not null")
-    return a.select("org_id", words(F.col("name")).alias("w")).select("org_id", F.array_join("w", " ").alias("alias"), F.size("w").alias("n_words")).filter("n_words > 0").distinct()
+    a = a.select("org_id", F.array_join(words(F.col("name")), " ").alias("alias"), _readings(F.col("name")))
+    return a.select("org_id", "alias", "reading", F.array_join("w", " ").alias("run"), F.size("w").alias("n_words")).filter("n_words > 0").distinct()
 
 
-def alias_matches(docs: DataFrame, ident: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``(id, org_id, alias, occurrences)`` of names on word boundaries: word runs of the lengths there are, joined by
-    equality with the names; never a scan of every name in every text."""
-    a = names(dictionary)
+def alias_readings(docs: DataFrame, ident: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``(id, org_id, alias, reading, occurrences)`` of names on word boundaries: word runs of the lengths there are,
+    joined by equality with the names; never a scan of every name in every text. Both sides are brought to one spelling;
+    ``no_accents`` compares both without accents, so it holds what ``written`` holds."""
+    a = _names(dictionary)
     lengths = sorted(r["n_words"] for r in a.select("n_words").distinct().collect())
     if not lengths:
         lengths = [1]
-    w = docs.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), words(F.col(text)).alias("w"))
+    w = docs.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), _readings(F.col(text)))
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
-    grams = w.select("id", F.explode(F.concat(*(runs(n) for n in lengths))).alias("alias"))
-    return grams.join(checked_broadcast(a.drop("n_words")), "alias").groupBy("id", "org_id", "alias").agg(F.count("*").alias("occurrences"))
+    grams = w.select("id", "reading", F.explode(F.concat(*(runs(n) for n in lengths))).alias("run"))
+    return grams.join(checked_broadcast(a.drop("n_words")), ["reading", "run"]).groupBy("id", "org_id", "alias", "reading").agg(F.count("*").alias("occurrences"))
+
+
+def alias_matches(docs: DataFrame, ident: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``(id, org_id, alias, occurrences)`` of the names as written."""
+    return alias_readings(docs, ident, text, dictionary).filter("reading = 'written'").drop("reading")
 
 
 def fuzzy_aliases(values: DataFrame, col: str, dictionary: DataFrame) -> DataFrame:

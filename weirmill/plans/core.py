@@ -215,7 +215,7 @@ def page_sanitized(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alias_exact(spark: SparkSession, d: str) -> DataFrame:
-    return matching.alias_matches(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "dictionary"))
+    return matching.alias_readings(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "dictionary"))
 
 
 @query()
