@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from weirmill.operators import audit, contract, groups, matching, metrics
+from weirmill.operators import audit, contract, groups, matching, metrics, models
 from weirmill.operators.skew import two_stage
 
 SCORED = [(s, 1) for s in (0.9, 0.8, 0.8, 0.4)] + [(s, 0) for s in (0.8, 0.3, 0.2, 0.1)]
@@ -136,6 +136,23 @@ def test_names_in_any_spelling(spark, rows):
     assert rows(matching.fuzzy_aliases(values, "v", dic).select("value", "alias", "distance")) == {("sao khuê bank", "sao khuê bank", 0)}
 
 
+def test_document_frequencies_read_all_training_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3, f"w{i % 7} v{i % 5}", float(i % 2), 1.0) for i in range(300)], "id long, fold int, t string, label double, n double")
+    seen = {"idf": [], "lr": []}
+
+    def watch(base, name):
+        def _fit(self, dataset):
+            seen[name].append(dataset.count())
+            return base._fit(self, dataset)
+
+        return type(base.__name__, (base,), {"_fit": _fit})
+
+    monkeypatch.setattr(models, "IDF", watch(models.IDF, "idf"))
+    monkeypatch.setattr(models, "LogisticRegression", watch(models.LogisticRegression, "lr"))
+    assert models.out_of_fold(df, "id", "fold", 3, "t", ["n"], fit_rows=150).count() == 300
+    assert seen["idf"] == [200] * 6 and len(seen["lr"]) == 3 and all(60 < n < 140 for n in seen["lr"])
+
+
 def test_contract(spark):
     ok = '{"request_id":"123e4567-e89b-12d3-a456-426614174000","navigation_id":"n","dom_revision":0,"phase":"url_content","url":"https://a.test/","preprocessing_version":"v1","capture_mode":"rendered_dom","html":"<p>"}'
     cases = {

@@ -11,33 +11,39 @@ from pyspark.sql import functions as F
 
 from weirmill.operators.metrics import hash32
 
-#: The most rows a model is fitted on; more are thinned by a hash. Everything else reads all rows.
+#: The most rows a classifier is fitted on; more are thinned by a hash. Document frequencies and all else read all rows.
 FIT_ROWS = 1_000_000
 
 
-def pipeline(text: str | None, numbers: list[str], family: str = "logistic_regression", features: int = 1 << 12) -> Pipeline:
+def features(text: str | None, numbers: list[str], size: int = 1 << 12) -> Pipeline:
     """Words and word pairs of ``text`` weighted by inverse document frequency, beside ``numbers``."""
     stages, parts = [], list(numbers)
     if text:
         stages = [RegexTokenizer(inputCol=text, outputCol="__w", pattern="[^\\p{L}\\p{N}]+"), NGram(n=2, inputCol="__w", outputCol="__b")]
         for source in ("__w", "__b"):
-            stages += [HashingTF(inputCol=source, outputCol=f"{source}_tf", numFeatures=features), IDF(inputCol=f"{source}_tf", outputCol=f"{source}_idf")]
+            stages += [HashingTF(inputCol=source, outputCol=f"{source}_tf", numFeatures=size), IDF(inputCol=f"{source}_tf", outputCol=f"{source}_idf")]
             parts.append(f"{source}_idf")
     stages.append(VectorAssembler(inputCols=parts, outputCol="__features", handleInvalid="keep"))
-    model = LogisticRegression(featuresCol="__features", labelCol="label", regParam=0.01, maxIter=20) if family == "logistic_regression" else GBTClassifier(featuresCol="__features", labelCol="label", maxIter=10, seed=17)
-    return Pipeline(stages=[*stages, model])
+    return Pipeline(stages=stages)
+
+
+def classifier(family: str = "logistic_regression") -> LogisticRegression | GBTClassifier:
+    return LogisticRegression(featuresCol="__features", labelCol="label", regParam=0.01, maxIter=20) if family == "logistic_regression" else GBTClassifier(featuresCol="__features", labelCol="label", maxIter=10, seed=17)
 
 
 def out_of_fold(df: DataFrame, ident: str, fold: str, k: int, text: str | None, numbers: list[str], family: str = "logistic_regression", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``(id, fold, label, score)``: each fold scored by a model fitted on the others, vocabulary weights included."""
+    """``(id, fold, label, score)``: each fold scored by a model fitted on the others, vocabulary weights included. The
+    weights come from all rows of the other folds, the classifier from at most about ``fit_rows`` of all."""
     known = df.filter("label is not null")
     if text:
         known = known.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     total, got = known.count(), None
     thin = hash32(F.lit("fit"), F.col(ident)) < F.lit(int(2**32 * min(1.0, fit_rows / max(total, 1))))
     for f in range(k):
-        model = pipeline(text, numbers, family).fit(known.filter((F.col(fold) != f) & thin))
-        some = model.transform(known.filter(F.col(fold) == f)).select(F.col(ident).alias("id"), F.col(fold).alias("fold"), "label", vector_to_array("probability")[1].alias("score"))
+        train = known.filter(F.col(fold) != f)
+        weights = features(text, numbers).fit(train)
+        model = classifier(family).fit(weights.transform(train.filter(thin)))
+        some = model.transform(weights.transform(known.filter(F.col(fold) == f))).select(F.col(ident).alias("id"), F.col(fold).alias("fold"), "label", vector_to_array("probability")[1].alias("score"))
         got = some if got is None else got.unionByName(some)
     return got
 
