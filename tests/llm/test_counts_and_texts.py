@@ -83,6 +83,13 @@ def test_skeleton():
     assert one(one(long)) == one(long) == ("space " * 200_000).strip()
 
 
+def test_letters_of_one_shape_in_any_script():
+    for c, to in zip("\u03f9\u050c\u13aa\u2c9f\ua4ee\u217d\u2160\u216f\ua4f2\u2c9e", "CGAoAcIMIO"):
+        assert skeleton.skeleton(f"a{c}") == "a" + to
+        assert skeleton.words(f"A{c}") == ["a" + to.lower()]
+    assert skeleton.skeleton("\u2167") == "VIII"
+
+
 def test_look_alike_pairs(spark, rows):
     texts = ["paypal a", "раураӏ a", "paypal  a", "paypal a", "", None, "Paypal a", "​", " ", "other"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_id", F.lit(0))

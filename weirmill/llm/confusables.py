@@ -1,0 +1,374 @@
+"""The published confusables (UTS #39, as in ICU 77) whose prototype is of ASCII characters or Latin letters, by
+prototype. Left out: ASCII characters, what decomposition by rule gives, and prototypes that hold accents. Where the published
+table folds ASCII characters together, the one of the same kind (capital, small letter, digit, sign) is taken.
+"""
+
+BY_PROTOTYPE = {
+    "!": "\u2d51",
+    "!!": "\u203c",
+    "!?": "\u2049",
+    "\"": "\u02ba\u02dd\u02ee\u02f6\u05f2\u05f4\u1cd3\u2036",
+    "%": "\u066a\u2052",
+    "&": "\ua778",
+    "'": "\u00b4\u02bb\u02bd\u02be\u02c8\u02ca\u02cb\u02f4\u0384\u055a\u055d\u05d9\u05f3\u07f4\u07f5\u144a\u16cc\u1fbd\u1fbf\u1ffe\ua78c\U00016f51\U00016f52",
+    "'''": "\u2034\u2037",
+    "''''": "\u2057",
+    "'B": "\u0181",
+    "'D": "\u018a",
+    "'P": "\u01a4",
+    "'T": "\u01ac",
+    "'Y": "\u01b3",
+    "'n": "\u0149",
+    "(": "\u2768\u2772\u3014\ufd3e\uff3b",
+    "((": "\u2e28",
+    "(1)": "\u2474",
+    "(10)": "\u247d",
+    "(11)": "\u247e",
+    "(12)": "\u247f",
+    "(13)": "\u2480",
+    "(14)": "\u2481",
+    "(15)": "\u2482",
+    "(16)": "\u2483",
+    "(17)": "\u2484",
+    "(18)": "\u2485",
+    "(19)": "\u2486",
+    "(2)": "\u2475",
+    "(20)": "\u2487",
+    "(3)": "\u2476",
+    "(4)": "\u2477",
+    "(5)": "\u2478",
+    "(6)": "\u2479",
+    "(7)": "\u247a",
+    "(8)": "\u247b",
+    "(9)": "\u247c",
+    "(A)": "\U0001f110",
+    "(B)": "\U0001f111",
+    "(C)": "\U0001f112",
+    "(D)": "\U0001f113",
+    "(E)": "\U0001f114",
+    "(F)": "\U0001f115",
+    "(G)": "\U0001f116",
+    "(H)": "\U0001f117",
+    "(I)": "\U0001f118",
+    "(J)": "\U0001f119",
+    "(K)": "\U0001f11a",
+    "(L)": "\U0001f11b",
+    "(M)": "\U0001f11c",
+    "(N)": "\U0001f11d",
+    "(O)": "\U0001f11e",
+    "(P)": "\U0001f11f",
+    "(Q)": "\U0001f120",
+    "(R)": "\U0001f121",
+    "(S)": "\U0001f122\U0001f12a",
+    "(T)": "\U0001f123",
+    "(U)": "\U0001f124",
+    "(V)": "\U0001f125",
+    "(W)": "\U0001f126",
+    "(X)": "\U0001f127",
+    "(Y)": "\U0001f128",
+    "(Z)": "\U0001f129",
+    "(a)": "\u249c",
+    "(b)": "\u249d",
+    "(c)": "\u249e",
+    "(d)": "\u249f",
+    "(e)": "\u24a0",
+    "(f)": "\u24a1",
+    "(g)": "\u24a2",
+    "(h)": "\u24a3",
+    "(i)": "\u24a4",
+    "(j)": "\u24a5",
+    "(k)": "\u24a6",
+    "(l)": "\u24a7",
+    "(m)": "\u24a8",
+    "(n)": "\u24a9",
+    "(o)": "\u24aa",
+    "(p)": "\u24ab",
+    "(q)": "\u24ac",
+    "(r)": "\u24ad",
+    "(s)": "\u24ae",
+    "(t)": "\u24af",
+    "(u)": "\u24b0",
+    "(v)": "\u24b1",
+    "(w)": "\u24b2",
+    "(x)": "\u24b3",
+    "(y)": "\u24b4",
+    "(z)": "\u24b5",
+    ")": "\u2769\u2773\u3015\ufd3f\uff3d",
+    "))": "\u2e29",
+    "*": "\u066d\u204e\U0001031f",
+    "+": "\u16ed\u2795\U0001029b",
+    ",": "\u00b8\u060d\u066b\ua4f9",
+    "-": "\u06d4\u2796\u2cba",
+    "-.": "\ua4fe",
+    ".": "\u0660\u06f0\u0701\u0702\ua4f8\ua60e\U00010a50\U0001d16d",
+    ".,": "\ua4fb",
+    "..": "\ua4fa",
+    "/": "\u1735\u2041\u2571\u27cb\u29f8\u2cc6\u2f03\u3033\u30ce\u31d3\u4e3f\U0001d23a",
+    "//": "\u2afd",
+    "///": "\u2afb",
+    "0": "\u07c0\u09e6\u0b66\u3007\U000114d0\U000118e0",
+    "0,": "\U0001f101",
+    "0.": "\U0001f100",
+    "1": "\u0661\u06f1\U00010320\U0001e8c7",
+    "1,": "\U0001f102",
+    "1.": "\u2488",
+    "10.": "\u2491",
+    "11.": "\u2492",
+    "12.": "\u2493",
+    "13.": "\u2494",
+    "14.": "\u2495",
+    "15.": "\u2496",
+    "16.": "\u2497",
+    "17.": "\u2498",
+    "18.": "\u2499",
+    "19.": "\u249a",
+    "2": "\u01a7\u03e8\u14bf\ua644\ua6ef\ua75a",
+    "2,": "\U0001f103",
+    "2.": "\u2489",
+    "20.": "\u249b",
+    "3": "\u01b7\u021c\u0417\u04e0\u2ccc\ua76a\ua7ab\U000118ca\U00016f3b\U0001d206",
+    "3,": "\U0001f104",
+    "3.": "\u248a",
+    "4": "\u13ce\U000118af",
+    "4,": "\U0001f105",
+    "4.": "\u248b",
+    "5": "\u01bc\U000118bb",
+    "5,": "\U0001f106",
+    "5.": "\u248c",
+    "6": "\u0431\u13ee\u2cd2\U000118d5",
+    "6,": "\U0001f107",
+    "6.": "\u248d",
+    "7": "\U000104d2\U000118c6\U0001d212",
+    "7,": "\U0001f108",
+    "7.": "\u248e",
+    "8": "\u0222\u0223\u09ea\u0a6a\u0b03\U0001031a\U0001e8cb",
+    "8,": "\U0001f109",
+    "8.": "\u248f",
+    "9": "\u09ed\u0a67\u0b68\u0d6d\u2cca\ua76e\U000118ac\U000118cc\U000118d6",
+    "9,": "\U0001f10a",
+    "9.": "\u2490",
+    ":": "\u02f8\u0589\u05c3\u0703\u0704\u0903\u0a83\u16ec\u1803\u1809\u205a\ufe30",
+    "::=": "\u2a74",
+    "<": "\u02c2\u1438\u16b2\u276e\U0001d236",
+    "<<": "\u226a",
+    "<<<": "\u22d8",
+    "=": "\u1400\u2e40\u30a0\ua4ff",
+    "==": "\u2a75",
+    "===": "\u2a76",
+    ">": "\u02c3\u1433\u276f\U00016f3f\U0001d237",
+    "><": "\u2aa5",
+    ">>": "\u226b\u2a20",
+    ">>>": "\u22d9",
+    "?": "\u0241\u0294\u097d\u13ae\ua6eb",
+    "?!": "\u2048",
+    "??": "\u2047",
+    "A": "\u13aa\u15c5\ua4ee\U000102a0\U00016f40",
+    "AA": "\ua732",
+    "AE": "\u00c6\u04d4",
+    "AO": "\ua734",
+    "AR": "\U0001f707",
+    "AU": "\ua736",
+    "AV": "\ua738\ua73a",
+    "AY": "\ua73c",
+    "B": "\u13f4\u15f7\ua4d0\ua7b4\U00010282\U000102a1\U00010301",
+    "C": "\u03f9\u13df\u216d\u2ca4\ua4da\U000102a2\U00010302\U00010415\U0001051c\U000118e9\U000118f2\U0001f74c",
+    "C'": "\u0187",
+    "D": "\u13a0\u15de\u15ea\u216e\ua4d3",
+    "DZ": "\u01f1",
+    "Dz": "\u01f2",
+    "E": "\u13ac\u22ff\u2d39\ua4f0\U00010286\U000118a6\U000118ae",
+    "F": "\u03dc\u15b4\ua4dd\ua798\U00010287\U000102a5\U00010525\U000118a2\U000118c2\U0001d213\U0001d7ca",
+    "FAX": "\u213b",
+    "G": "\u050c\u13c0\u13f3\ua4d6",
+    "G'": "\u0193",
+    "H": "\u13bb\u157c\u2c8e\ua4e7\U000102cf",
+    "I": "\u0196\u04c0\u2160\u2c92\ua4f2",
+    "II": "\u2161",
+    "III": "\u2162",
+    "IJ": "\u0132",
+    "IV": "\u2163",
+    "IX": "\u2168",
+    "J": "\u13ab\u148d\ua4d9\ua7b2",
+    "K": "\u13e6\u16d5\u2c94\ua4d7\U00010518",
+    "K'": "\u0198",
+    "L": "\u13de\u14aa\u216c\u2cd0\ua4e1\U0001041b\U00010526\U000118a3\U000118b2\U00016f16\U0001d22a",
+    "LJ": "\u01c7",
+    "Lj": "\u01c8",
+    "M": "\u03fa\u13b7\u15f0\u16d6\u216f\u2c98\ua4df\U000102b0\U00010311",
+    "MB": "\U0001f76b",
+    "N": "\u2c9a\ua4e0\U00010513",
+    "NJ": "\u01ca",
+    "Nj": "\u01cb",
+    "No": "\u2116",
+    "O": "\u0b20\u12d0\u2c9e\u2d54\ua4f3\U00010292\U000102ab\U00010404\U000104c2\U00010516\U000118b5",
+    "O'": "\u13a4",
+    "OE": "\u0152",
+    "OO": "\ua698\ua74e",
+    "P": "\u13e2\u146d\u2ca2\ua4d1\U00010295",
+    "P'": "\u1486",
+    "Q": "\u2d55",
+    "QE": "\U0001f700",
+    "R": "\u01a6\u13a1\u13d2\u1587\ua4e3\U000104b4\U00016f35\U0001d216",
+    "Rs": "\u20a8",
+    "S": "\u13d5\u13da\ua4e2\U00010296\U00010420\U00016f3a",
+    "T": "\u13a2\u22a4\u27d9\u2ca6\ua4d4\U00010297\U000102b1\U00010315\U000118bc\U00016f0a\U0001f768",
+    "T3": "\ua728",
+    "TEL": "\u2121",
+    "U": "\u1200\u144c\u222a\u22c3\ua4f4\U000104ce\U000118b8\U00016f42",
+    "U'": "\u1467",
+    "V": "\u0474\u0667\u06f7\u13d9\u142f\u2164\u2d38\ua4e6\ua6df\U0001051d\U000118a0\U00016f08\U0001d20d",
+    "VB": "\U0001f76c",
+    "VI": "\u2165",
+    "VII": "\u2166",
+    "VIII": "\u2167",
+    "W": "\u13b3\u13d4\ua4ea\U000118e6\U000118ef",
+    "X": "\u166d\u16b7\u2169\u2573\u2cac\u2d5d\ua4eb\ua7b3\U00010290\U000102b4\U00010317\U00010322\U00010527\U000118ec",
+    "XI": "\u216a",
+    "XII": "\u216b",
+    "Y": "\u03d2\u13a9\u13bd\u2ca8\ua4ec\U000102b2\U000118a4\U00016f43",
+    "Z": "\u13c3\ua4dc\U000102f5\U000118a9\U000118e5",
+    "\\": "\u2216\u27cd\u29f5\u29f9\u2f02\u31d4\u4e36\ufe68\U0001d20f\U0001d23b",
+    "\\\\": "\u244a\u2cf9",
+    "^": "\u02c4\u02c6",
+    "_": "\u07fa\ufe4d\ufe4e\ufe4f",
+    "a": "\u237a",
+    "a/c": "\u2100",
+    "a/s": "\u2101",
+    "aa": "\ua733",
+    "ae": "\u00e6\u04d5",
+    "ao": "\ua735",
+    "au": "\ua737",
+    "av": "\ua739\ua73b",
+    "ay": "\ua73d",
+    "b": "\u0184\u042c\u13cf\u1472\u15af",
+    "b'": "\u1488",
+    "bl": "\u042b",
+    "c": "\u1d04\u217d\u2ca5\uabaf\U0001043d",
+    "c/o": "\u2105",
+    "c/u": "\u2106",
+    "d": "\u13e7\u146f\u217e\ua4d2",
+    "d'": "\u1487",
+    "dz": "\u01f3\u02a3",
+    "d\u021d": "\u02a4",
+    "d\u0291": "\u02a5",
+    "e": "\u04bd\u212e\uab32",
+    "f": "\u017f\u0584\u1e9d\ua799\uab35",
+    "f\u014b": "\u02a9",
+    "g": "\u018d\u1d83",
+    "h": "\u13c2",
+    "i": "\u026a\u02db\u037a\u13a5\u2170\u2373\ua647\uab75\U000118c3\U0001d6a4",
+    "ii": "\u2171",
+    "iii": "\u2172",
+    "ij": "\u0133",
+    "iv": "\u2173",
+    "ix": "\u2178",
+    "j": "\U0001d6a5",
+    "l": "\u01c0\u05d5\u05df\u0627\u07ca\u16c1\u217c\u2d4f\ufe8d\ufe8e\U0001028a\U00010309\U00016f28\U0001ee00\U0001ee80",
+    "l'": "\u05f1",
+    "lO": "\u042e",
+    "lj": "\u01c9",
+    "ll": "\u01c1\u05f0\u2016\u2225",
+    "ls": "\u02aa",
+    "lt": "\u20b6",
+    "lz": "\u02ab",
+    "l\u021d": "\u026e",
+    "m": "\u217f\U00011700\U000118e3",
+    "n": "\u057c",
+    "nj": "\u01cc",
+    "o": "\u05e1\u0647\u0665\u06be\u06c1\u06d5\u06f5\u0966\u0a66\u0ae6\u0be6\u0c02\u0c66\u0c82\u0ce6\u0d02\u0d20\u0d66\u0d82\u0e50\u0ed0\u101d\u1040\u10ff\u1d0f\u1d11\u2c9f\uab3d\ufba6\ufba7\ufba8\ufba9\ufbaa\ufbab\ufbac\ufbad\ufee9\ufeea\ufeeb\ufeec\U0001042c\U000104ea\U000118c8\U000118d7\U0001ee24\U0001ee64\U0001ee84",
+    "oe": "\u0153",
+    "oo": "\u221e\ua699\ua74f",
+    "o\u1d07": "\u0276",
+    "p": "\u03f1\u2374\u2ca3\U0001d6e0\U0001d71a\U0001d754\U0001d78e\U0001d7c8",
+    "q": "\u0563",
+    "r": "\u1d26\u2c85\uab47\uab48\uab81",
+    "r'": "\u0491",
+    "s": "\ua731\uabaa\U00010448\U000118c1",
+    "sss": "\U0001f75c",
+    "tf": "\ua777",
+    "ts": "\u02a6",
+    "t\u021d": "\ua729",
+    "t\u0255": "\u02a8",
+    "t\u0283": "\u02a7",
+    "u": "\u028b\u1d1c\ua79f\uab4e\uab52\U000104f6\U000118d8",
+    "ue": "\u1d6b",
+    "uo": "\uab63",
+    "v": "\u05d8\u1d20\u2174\u2228\u22c1\uaba9\U00011706\U000118c0",
+    "vi": "\u2175",
+    "vii": "\u2176",
+    "viii": "\u2177",
+    "w": "\u026f\u0461\u0561\u1d21\uab83\U0001170a\U0001170e\U0001170f",
+    "x": "\u00d7\u1541\u157d\u166e\u2179\u292b\u292c\u2a2f",
+    "xi": "\u217a",
+    "xii": "\u217b",
+    "y": "\u0263\u10e7\u1d8c\u1eff\uab5a\U000118dc",
+    "z": "\u1d22\uab93\U000118c4",
+    "{": "\u2774\U0001d114",
+    "|": "\u05c0\u2223\u23fd\uffe8",
+    "}": "\u2775",
+    "~": "\u1fc0\u2053",
+    "\u00de": "\u03f7\U000104c4",
+    "\u00df": "\u03b2\u03d0\u13f0\u1e9e\ua7b5\ua7d6\U0001d6c3\U0001d6fd\U0001d737\U0001d771\U0001d7ab",
+    "\u00fe": "\u01bf\u03f8",
+    "\u0138": "\u03ba\u03f0\u043a\u1d0b\u2c95\uabb6\U0001d6cb\U0001d6de\U0001d705\U0001d718\U0001d73f\U0001d752\U0001d779\U0001d78c\U0001d7b3\U0001d7c6",
+    "\u0185": "\u044c\uab9f",
+    "\u0185i": "\u044b",
+    "\u0186": "\u03fd\u2183\ua4db\U00010423",
+    "\u018e": "\u2203\u2d3a\ua4f1",
+    "\u018f": "\u04d8",
+    "\u0190": "\u0510\u13cb\u2107\U00010401\U00016f2d\U0001d221",
+    "\u01a8": "\u03e9\u1d24\ua645",
+    "\u01a9": "\u03a3\u2140\u2211\u2d49\U0001d6ba\U0001d6f4\U0001d72e\U0001d768\U0001d7a2",
+    "\u01ab": "\u13bf",
+    "\u01b1": "\u162e\u1634\u2127",
+    "\u01dd": "\u0259\u04d9",
+    "\u01ddo": "\u1d14",
+    "\u01f6": "\u050a",
+    "\u021d": "\u0292\u04e1\u10f3\u2ccd\ua76b",
+    "\u0242": "\uab7e",
+    "\u0245": "\u039b\u041b\u0668\u06f8\u1431\u2d37\ua4e5\ua6ce\U0001028d\U000104b0\U00016f3d\U0001d6b2\U0001d6ec\U0001d726\U0001d760\U0001d79a",
+    "\u024b": "\u1d90",
+    "\u0254": "\u037b\u1d10\u2184\U0001044b",
+    "\u0254e": "\uab62",
+    "\u025c": "\u0437\u1d08",
+    "\u025e": "\U00010442",
+    "\u0262": "\u050d\u13fb\uab90",
+    "\u0270": "\u057a\u1223",
+    "\u0277": "\U0001043f",
+    "\u0278": "\u03c6\u03d5\u0444\u2cab\U0001d6d7\U0001d6df\U0001d711\U0001d719\U0001d74b\U0001d753\U0001d785\U0001d78d\U0001d7bf\U0001d7c7",
+    "\u027f": "\u2129",
+    "\u0280": "\uab71\uaba2",
+    "\u0283": "\u222b\uab4d",
+    "\u0283\u0283": "\u222c",
+    "\u0283\u0283\u0283": "\u222d",
+    "\u0283\u0283\u0283\u0283": "\u2a0c",
+    "\u028c": "\u1d27\U000104d8",
+    "\u028d": "\u043c\u1d0d\uab87",
+    "\u0298": "\u2299\u2609\u2a00\u2d59\ua668\U000104c3",
+    "\u0299": "\u0432\u13fc",
+    "\u029a": "\ua79d\U0001042a",
+    "\u029c": "\u043d\uab8b",
+    "\u029f": "\u2cd1\uabae\U00010443",
+    "\u02a1": "\ua6cd",
+    "\u1d00": "\uab7a",
+    "\u1d05": "\uab70",
+    "\u1d07": "\uab7c",
+    "\u1d0a": "\uab7b",
+    "\u1d0e": "\u0377\u0438\U0001044d",
+    "\u1d18": "\u1d29\uabb2",
+    "\u1d19": "\u044f",
+    "\u1d1b": "\u03c4\u0442\uab72\U0001d6d5\U0001d70f\U0001d749\U0001d783\U0001d7bd",
+    "\u1e9f": "\u03b4\u056e\u1577\u2e39\U0001d6c5\U0001d6ff\U0001d739\U0001d773\U0001d7ad",
+    "\u2c6f": "\u15c4\u2200\ua4ef\U0001d217",
+    "\u2c70": "\U0001041f",
+    "\u2c75": "\u0370\u13a8\u13b0\ua6b1",
+    "\u2c76": "\uab80",
+    "\ua727": "\ua795",
+    "\ua73e": "\u03ff",
+    "\ua73f": "\u037d",
+    "\ua779": "\ua77a",
+    "\ua786": "\u10a0",
+    "\ua792": "\u0404\u20ac\u2c88",
+    "\ua793": "\u025b\u03b5\u03f5\u0454\u0511\u22f4\u2c89\uab9b\U00010429\U000118ce\U0001d6c6\U0001d6dc\U0001d700\U0001d716\U0001d73a\U0001d750\U0001d774\U0001d78a\U0001d7ae\U0001d7c4",
+    "\ua7fb": "\u15b7\U0001d230",
+}

@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmill.llm.confusables import BY_PROTOTYPE
 from weirmill.session import write_table
 
 # Characters and the prototypes they look like, from the published confusables data (UTS #39), as far as
-# the prototype is one or more ASCII characters or a letter of a Latin alphabet.
+# the prototype is of ASCII characters or letters of a Latin alphabet; the readings given here go before the list.
 LOOK_ALIKES = {
+    **{c: to for to, several in BY_PROTOTYPE.items() for c in several},
     **dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜ", "ABESIJKMHOPCTYXYQW")),  # Cyrillic capitals
     **dict(zip("аеһіјорѕсԁԛгѵԝхуүӏ", "aehijopscdqrvwxyyl")),  # Cyrillic small letters
     **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿ", "ABEZHIKMNOPTYXJ")),  # Greek capitals
@@ -56,7 +58,8 @@ class _Prototypes(dict):
         else:
             tag, _, parts = unicodedata.decomposition(c).partition(" ")
             ligature = tag == "<compat>" and (0xFB00 <= code <= 0xFB17)
-            if tag in ("<wide>", "<narrow>", "<font>") or ligature:
+            letter = tag == "<compat>" and kind[0] in "LN" and " " not in parts
+            if tag in ("<wide>", "<narrow>", "<font>") or ligature or letter:
                 to = "".join(chr(int(x, 16)) for x in parts.split()).translate(self)
             else:
                 to = c
