@@ -193,8 +193,8 @@ def host_pairs(rows: DataFrame, train: str = "train", evals: tuple[str, ...] = (
 def record_pairs(rows: DataFrame, pairs: DataFrame, train: str = "train", evals: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """``(record_id_a, record_id_b)``, smaller first, of train and evaluation records of paired hosts.
 
-    ``rows``: record_id, host, split. Only records of paired hosts are shuffled. A host with very many records meets
-    few others, so its records stay spread: each pair of hosts is salted over the records of its train host.
+    ``rows``: record_id, host, split. Only records of paired hosts are shuffled. The join is on the evaluation
+    host, without a salt: a host with very many records is spread only where AQE splits its partition.
     """
     rows = rows.filter(F.col("record_id").isNotNull() & F.col("host").isNotNull())
     pairs = pairs.select("host_a", "host_b")
