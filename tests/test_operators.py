@@ -136,6 +136,13 @@ def test_names_in_any_spelling(spark, rows):
     assert rows(matching.fuzzy_aliases(values, "v", dic).select("value", "alias", "distance")) == {("sao khuê bank", "sao khuê bank", 0)}
 
 
+def test_fuzzy_names_with_digits(spark, rows):
+    dic = spark.createDataFrame([("O1", "bank 1010", ["a100"], None)], "org_id string, display_name string, aliases array<string>, service_names array<string>")
+    values = spark.createDataFrame([("Bank 1010",), ("bank 101",), ("a100",), ("aioo",)], "v string")
+    got = rows(matching.fuzzy_aliases(values, "v", dic).select("value", "alias", "distance"))
+    assert got == {("bank ioio", "bank 1010", 0), ("bank ioi", "bank 1010", 1), ("aioo", "a100", 0)}
+
+
 def test_document_frequencies_read_all_training_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 3, f"w{i % 7} v{i % 5}", float(i % 2), 1.0) for i in range(300)], "id long, fold int, t string, label double, n double")
     seen = {"idf": [], "lr": []}

@@ -65,21 +65,24 @@ def alias_matches(docs: DataFrame, ident: str, text: str, dictionary: DataFrame)
 
 def fuzzy_aliases(values: DataFrame, col: str, dictionary: DataFrame) -> DataFrame:
     """``(value, org_id, alias, distance)`` of distinct values within one edit of a name of up to six characters, two of
-    a longer one. Both sides meet on parts: of a name cut into one part more than edits, one stands unchanged in the
-    value, shifted by no more than the edits; candidates are then measured exactly. Names under four characters are
+    a longer one; plain readings are compared with plain ones and variants with variants, and the smaller distance stands
+    (``value`` is the variant). Both sides meet on parts: of a name cut into one part more than edits, one stands unchanged
+    in the value, shifted by no more than the edits; candidates are then measured exactly. Names under four characters are
     left to the exact match."""
-    a = names(dictionary).select("org_id", "alias", F.length("alias").alias("la")).filter("la >= 4").withColumn("k", F.when(F.col("la") <= 6, 1).otherwise(2))
+    both = lambda c: F.inline(F.array(F.struct(F.lit(0).alias("kind"), c.alias("read")), F.struct(F.lit(1).alias("kind"), F.translate(c, CONFUSED, READ_AS).alias("read"))))
+    a = names(dictionary).select("org_id", "alias", F.length("alias").alias("la"), both(F.col("alias")).alias("kind", "name")).filter("la >= 4").withColumn("k", F.when(F.col("la") <= 6, 1).otherwise(2))
     cut = lambda i: F.floor(F.col("la") * i / (F.col("k") + 1)).cast("int")
     a = a.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    a = a.select("org_id", "alias", "la", "k", cut(F.col("i")).alias("at"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("n"))
-    a = a.withColumn("part", F.expr("substring(alias, at + 1, n)"))
-    v = values.select(variant(F.col(col)).alias("value")).filter("value <> ''").distinct()
+    a = a.select("org_id", "alias", "kind", "name", "la", "k", cut(F.col("i")).alias("at"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("n"))
+    a = a.withColumn("part", F.expr("substring(name, at + 1, n)"))
+    v = values.select(plain(F.col(col)).alias("plain")).filter("plain <> ''").distinct()
+    v = v.select(F.translate("plain", CONFUSED, READ_AS).alias("value"), both(F.col("plain")).alias("kind", "read")).distinct()
     sizes = sorted(r["n"] for r in a.select("n").distinct().collect())
-    grams = lambda n: F.when(F.length("value") >= n, F.transform(F.sequence(F.lit(1), F.length("value") - (n - 1)), lambda i: F.struct((i - 1).alias("off"), F.substring(F.col("value"), i, F.lit(n)).alias("part")))).otherwise(F.array().cast("array<struct<off:int,part:string>>"))
-    g = v.select("value", F.inline(F.concat(*(grams(n) for n in sizes)))) if sizes else v.select("value", F.lit(0).alias("off"), F.lit("").alias("part")).limit(0)
-    close = g.join(checked_broadcast(a), "part").filter((F.abs(F.col("off") - F.col("at")) <= F.col("k")) & (F.abs(F.length("value") - F.col("la")) <= F.col("k")))
-    got = close.select("value", "org_id", "alias", "k").distinct().withColumn("distance", F.levenshtein("value", "alias"))
-    return got.filter("distance <= k").select("value", "org_id", "alias", "distance")
+    grams = lambda n: F.when(F.length("read") >= n, F.transform(F.sequence(F.lit(1), F.length("read") - (n - 1)), lambda i: F.struct((i - 1).alias("off"), F.substring(F.col("read"), i, F.lit(n)).alias("part")))).otherwise(F.array().cast("array<struct<off:int,part:string>>"))
+    g = v.select("value", "kind", "read", F.inline(F.concat(*(grams(n) for n in sizes)))) if sizes else v.select("value", "kind", "read", F.lit(0).alias("off"), F.lit("").alias("part")).limit(0)
+    close = g.join(checked_broadcast(a), ["kind", "part"]).filter((F.abs(F.col("off") - F.col("at")) <= F.col("k")) & (F.abs(F.length("read") - F.col("la")) <= F.col("k")))
+    got = close.select("value", "read", "org_id", "alias", "name", "k").distinct().withColumn("distance", F.levenshtein("read", "name"))
+    return got.filter("distance <= k").groupBy("value", "org_id", "alias").agg(F.min("distance").alias("distance"))
 
 
 def suffixes(h: Column) -> Column:
