@@ -15,11 +15,22 @@ SALTS = 64
 
 
 def heavy_keys(df: DataFrame, keys: list[str], part: float = HEAVY_PART) -> DataFrame:
-    """The keys over ``part`` of all rows, at most ``1 / part``; rows are counted on the map side first."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = df.count()
-    rows = counts.filter(F.col("n") > total * part).select(*keys).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
+    """The keys over ``part`` of all rows, at most ``2 / part``, by one scan and without a shuffle of the others: a sketch
+    of frequent items counts all rows and tracks enough of them to miss no heavy key; it may name one that is lighter."""
+    most = int(2 / part)
+    name = F.to_json(F.struct(*keys))
+    tracked = min(1 << 20, 1 << (4 * most - 1).bit_length())
+    got = df.select(name.alias("k")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top")).first()
+    rows = [(r["item"],) for r in got["top"] or [] if r["item"] is not None and r["count"] > got["n"] * part]
+    schema = df.select(*keys).schema
+    found = df.sparkSession.createDataFrame(rows, "k string")
+    return found.select(F.from_json("k", schema).alias("k")).select("k.*")
+
+
+def heavy_of(counts: DataFrame, keys: list[str], n: str, part: float = HEAVY_PART) -> DataFrame:
+    """The keys over ``part`` of the whole of counts already made, at most ``1 / part``."""
+    total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
+    return counts.sparkSession.createDataFrame(counts.filter(F.col(n) > total * part).select(*keys).collect(), counts.select(*keys).schema)
 
 
 def salted(df: DataFrame, keys: list[str], salt_by: Column, heavy: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -28,20 +39,20 @@ def salted(df: DataFrame, keys: list[str], salt_by: Column, heavy: DataFrame, sa
     hot = heavy.select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)), F.lit(True).alias("__hot"))
     same = [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)]
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    return df.join(F.broadcast(hot), same, "left").select(*df.columns, salt.alias("salt"))  # at most 1 / HEAVY_PART rows
+    return df.join(F.broadcast(hot), same, "left").select(*df.columns, salt.alias("salt"))  # at most 2 / HEAVY_PART rows
 
 
 def two_stage(df: DataFrame, keys: list[str], record: str, stage1: list[Column], stage2: list[Column], part: float = HEAVY_PART, salts: int = SALTS) -> DataFrame:
     """Partial results per key and salt, merged by key.
 
-    Stage 1 groups by keys, salt and ``record``: a record falls under one salt of a key, so what is distinct by record is
-    exact and no task holds more than a salt's share of a heavy key. ``stage1`` are aggregates over a record's rows,
-    ``stage2`` over the records; they must combine (sum, min, max ...) and see the names of stage 1.
+    Rows move once, to the task of their key and salt: the salt alone spreads a heavy key. There they are brought together
+    per record (a record falls under one salt of a key, so what is distinct by record is exact) and per key and salt, with
+    no further shuffle; only the partial results move again. ``stage1`` are aggregates over a record's rows, ``stage2`` over
+    the records; they must combine (sum, min, max ...) and see the names of stage 1.
     """
     heavy = heavy_keys(df, keys, part)
-    by = salted(df, keys, F.coalesce(F.col(record).cast("string"), F.lit("")), heavy, salts)
-    first = by.groupBy(*keys, "salt", record).agg(*stage1)
-    partial = first.groupBy(*keys, "salt").agg(*stage2)
+    by = salted(df, keys, F.coalesce(F.col(record).cast("string"), F.lit("")), heavy, salts).repartition(*keys, "salt")
+    partial = by.groupBy(*keys, "salt", record).agg(*stage1).groupBy(*keys, "salt").agg(*stage2)
     merged = [merge_of(partial, c) for c in partial.columns if c not in (*keys, "salt")]
     return partial.groupBy(*keys).agg(*merged)
 

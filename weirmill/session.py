@@ -47,13 +47,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small(df: DataFrame, max_rows: int, max_bytes: int = 32 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and, written as JSON, at most ``max_bytes`` bytes; reads no more than one
+    row beyond that."""
+    got = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return got["n"] <= max_rows and got["b"] <= max_bytes
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A broadcast hint if ``df`` is counted to hold at most ``max_rows`` rows, else ``df`` unchanged (a shuffle join)."""
+    """A broadcast hint if ``df`` is counted to hold at most ``max_rows`` rows of at most 32 MB in all, else ``df`` unchanged (a
+    shuffle join)."""
     return F.broadcast(df) if small(df, max_rows) else df
 
 
@@ -67,6 +70,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    fs, at = _fs(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small text file, whole."""
     fs, at = _fs(spark, path)
@@ -77,8 +86,21 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small text file, written under another name and put in place by a rename: a reader sees all of it or none.
+    Raises if the file is there or the rename did not happen; nothing is ever deleted or overwritten."""
+    fs, at = _fs(spark, path)
+    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(at) or not fs.rename(part, at):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file, put in place by a rename: a reader sees the old or the new one, never a part."""
+    """A small text file, replaced by a rename."""
     fs, at = _fs(spark, path)
     _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
     stream = fs.create(part, True)
@@ -94,7 +116,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_weirmill_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="weirmill-code-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="weirmill-code-")  # of the driver; Spark's file server hands it out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
