@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import json
 import random
 import unicodedata
 
@@ -160,20 +161,52 @@ def test_document_frequencies_read_all_training_rows(spark, monkeypatch):
     assert seen["idf"] == [200] * 6 and len(seen["lr"]) == 3 and all(60 < n < 140 for n in seen["lr"])
 
 
-def test_contract(spark):
-    ok = '{"request_id":"123e4567-e89b-12d3-a456-426614174000","navigation_id":"n","dom_revision":0,"phase":"url_content","url":"https://a.test/","preprocessing_version":"v1","capture_mode":"rendered_dom","html":"<p>"}'
-    cases = {
-        ok: None, ok.replace('"html":"<p>"', '"target":"x","html":"<p>"'): "unknown_key", ok.replace(',"html":"<p>"', ""): "html_missing", ok.replace(":0", ":-1"): "dom_revision",
-        ok.replace("https", "file"): "url", ok.replace("url_content", "url_only").replace("rendered_dom", "url_only"): "html_unexpected", "{": "bad_json", ok.replace("<p>", "é" * 1_048_577): "body_too_large",
-        ok.replace("<p>", "x" * 1_000_001): "html_too_long", ok.replace("rendered_dom", "stored_html"): "capture_mode",
-    }
-    got = spark.createDataFrame([(k,) for k in cases], "b string").select("b", contract.request_error(F.col("b")).alias("e")).collect()
-    assert {r.b: r.e for r in got} == cases
-    done = '{"request_id":"r","status":"completed","verdict":"warning","score":0.75,"threshold":0.75,"signals":[]}'
-    cases = {
-        done: None, done.replace("warning", "no_indication"): "verdict", done.replace("0.75,", "1.01,", 1): "score", done.replace("0.75,", "null,", 1): "score",
-        done.replace("[]", str([1] * 21)): "signals", done.replace("completed", "insufficient"): "score",
-        '{"request_id":"r","status":"insufficient","verdict":"unable_to_assess","score":null,"threshold":null,"signals":[]}': None,
-    }
-    got = spark.createDataFrame([(k,) for k in cases], "b string").select("b", contract.response_error(F.col("b")).alias("e")).collect()
-    assert {r.b: r.e for r in got} == cases
+REQUEST = {"request_id": "11111111-1111-4111-8111-111111111111", "navigation_id": "22222222-2222-4222-8222-222222222222", "dom_revision": 1, "phase": "url_content", "url": "https://example.org/account", "html": "<p>x</p>", "preprocessing_version": "snapshot-v1", "capture_mode": "rendered_dom"}
+ADDRESS = {k: v for k, v in REQUEST.items() if k != "html"} | {"phase": "url_only", "capture_mode": "url_only", "dom_revision": 0}
+MODEL = {"model_id": "demo", "variant": "M3", "preprocessing_version": "snapshot-v1", "dictionary_version": "d", "score_semantics": "uncalibrated_model_score"}
+SIGNAL = {"code": "sensitive_form_detected", "org_candidate_id": None, "domain_relation": "not_applicable", "message": "m"}
+DONE = {k: REQUEST[k] for k in ("request_id", "navigation_id", "dom_revision", "phase")} | {"status": "completed", "verdict": "warning", "score": 0.82, "threshold": 0.75, "model": MODEL, "signals": [SIGNAL], "limitations": ["example"], "timing_ms": {"preprocess": 3, "extract": 8, "infer": 2, "server_total": 14}}
+UNABLE = DONE | {"status": "insufficient_content", "verdict": "unable_to_assess", "score": None, "threshold": None, "signals": []}
+
+
+def _errors(spark, f, cases):
+    got = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, b string").select("i", f(F.col("b")).alias("e")).collect()
+    return [(cases[r.i], r.e) for r in got if r.e != cases[r.i][1]]
+
+
+def test_request_contract(spark):
+    without = lambda d, k: {x: v for x, v in d.items() if x != k}
+    wrong = {"request_id": ["n", 1, None], "navigation_id": ["n", 2, None], "dom_revision": [-1, 1.5, "1", None], "phase": ["x", None], "url": ["file:///x", "https://a b", "", "https://a.test/" + "x" * 8192, 3], "preprocessing_version": ["", "v" * 65, None], "capture_mode": ["x", None]}
+    cases = [(REQUEST, None), (ADDRESS, None), (REQUEST | {"capture_mode": "stored_html"}, None), (REQUEST | {"dom_revision": 0}, None), (REQUEST | {"html": "x" * 1_000_000}, None)]
+    for base in (REQUEST, ADDRESS):
+        cases += [(base | {k: v}, k) for k, vs in wrong.items() for v in vs] + [(without(base, k), k) for k in wrong]
+        cases += [(base | {"score": 1}, "unknown_key"), (base | {"capture_mode": "url_only" if base is REQUEST else "rendered_dom"}, "capture_mode")]
+    cases += [(REQUEST | {"html": ""}, "html"), (REQUEST | {"html": 5}, "html"), (REQUEST | {"html": None}, "html_missing"), (without(REQUEST, "html"), "html_missing"), (ADDRESS | {"html": "<p>"}, "html_unexpected")]
+    cases += [(REQUEST | {"html": "x" * 1_000_001}, "html_too_long"), (REQUEST | {"html": "é" * 1_048_577}, "body_too_large")]
+    texts = [(json.dumps(d, ensure_ascii=False), e) for d, e in cases] + [("{", "bad_json"), ("[]", "bad_json"), (None, "bad_json"), ('{"a":1,"a":2}', "bad_json")]
+    assert _errors(spark, contract.request_error, texts) == []
+    codes = spark.createDataFrame([("body_too_large", "a", False), ("url", "a", False), (None, "b", False), (None, "a", False), ("url", "a", True), (None, "a", None)], "e string, v string, busy boolean")
+    got = codes.select(contract.status_code(F.col("e"), F.col("v") == "a", {429: F.col("busy")})).collect()
+    assert [r[0] for r in got] == [413, 422, 409, 200, 429, 200]
+
+
+def test_response_contract(spark):
+    without = lambda d, k: {x: v for x, v in d.items() if x != k}
+    cases = [(DONE, None), (UNABLE, None), (DONE | {"score": 0.8234567891}, None), (DONE | {"score": 1e-05, "verdict": "no_indication"}, None), (DONE | {"score": 1, "threshold": 1}, None), (DONE | {"score": 0.75}, None)]
+    cases += [(without(DONE, k), "missing_key") for k in DONE] + [(DONE | {"html": "x"}, "unknown_key"), (DONE | {"status": "insufficient"}, "status")]
+    cases += [(DONE | {"score": v}, "score") for v in (1.01, -0.1, None, "0.8")] + [(DONE | {"threshold": v}, "threshold") for v in (2, None, "0.1")]
+    cases += [(DONE | {"verdict": v}, "verdict") for v in ("no_indication", "unable_to_assess", None)] + [(UNABLE | {"verdict": "no_indication"}, "verdict"), (UNABLE | {"score": 0.1}, "score"), (UNABLE | {"threshold": 0.1}, "threshold")]
+    cases += [(DONE | {"model": m}, "model") for m in (None, "m", MODEL | {"x": 1}, MODEL | {"variant": "M4"}, MODEL | {"model_id": ""}, MODEL | {"score_semantics": "p"}, *(without(MODEL, k) for k in MODEL))]
+    cases += [(DONE | {"signals": [s]}, "signals") for s in (1, SIGNAL | {"x": 1}, SIGNAL | {"code": ""}, SIGNAL | {"domain_relation": "own"}, SIGNAL | {"message": "m" * 301}, SIGNAL | {"org_candidate_id": 1}, *(without(SIGNAL, k) for k in SIGNAL))]
+    cases += [(DONE | {"signals": [SIGNAL] * 21}, "signals"), (DONE | {"signals": {}}, "signals"), (DONE | {"signals": [SIGNAL | {"org_candidate_id": "O1"}] * 20}, None)]
+    cases += [(DONE | {"limitations": v}, "limitations") for v in (None, ["x" * 201], [1], ["a"] * 21)] + [(DONE | {"timing_ms": v}, "timing_ms") for v in (None, {}, DONE["timing_ms"] | {"infer": -1}, DONE["timing_ms"] | {"x": 1}, DONE["timing_ms"] | {"infer": "2"})]
+    assert _errors(spark, contract.response_error, [(json.dumps(d), e) for d, e in cases] + [(None, "bad_json"), ("3", "bad_json")]) == []
+    v = spark.createDataFrame([(0.5, 0.5), (0.4, 0.5), (None, 0.5), (0.9, None)], "s double, t double").select(contract.verdict(F.col("s"), F.col("t"))).collect()
+    assert [r[0] for r in v] == ["warning", "no_indication", "unable_to_assess", "unable_to_assess"]
+
+
+def test_report_with_null_and_empty(spark):
+    df = spark.createDataFrame([("a", None), ("a", ""), (None, "x"), ("", "x")], "p string, q string")
+    got = json.loads(audit.report(df, ["p", "q"], "q", ("p", "q"), F.lit(True), "q").first()[0])
+    assert got["counts"]["q"] == {"\u0000null": 1, "": 1, "x": 2} and got["counts"]["p"] == {"a": 2, "\u0000null": 1, "": 1}
+    assert got["cross"] == {"a|\u0000null": 1, "a|": 1, "\u0000null|x": 1, "|x": 1} and got["filtered"] == {"\u0000null": 1, "": 1, "x": 2}

@@ -31,14 +31,18 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), (F.count_distinct(col) + F.max(F.col(col).isNull().cast("int")).cast("long")).alias("distinct_values"))
 
 
+#: The key of null in a map of counts, which no value has; JSON has no other way to tell it from the empty string.
+NULL_KEY = "\x00null"
+
+
 def report(df: DataFrame, dims: list[str], distinct: str, cross: tuple[str, str], where: Column, filtered: str) -> DataFrame:
     """One row with the whole audit as JSON: rows, a map of counts for each dimension, distinct values, two-key counts
-    and filtered counts. The maps hold one entry a category value, not a row."""
+    (``a|b``) and filtered counts. The maps hold one entry a category value, not a row; null stands under ``NULL_KEY``."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY))
     as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias(c)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")
-    counts = value_counts(df, dims).groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("value", F.lit("")).alias("value"), "n"))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("dim", "m"))).alias("counts"))
-    pairs = df.select(F.concat_ws("|", *cross).alias("value")).groupBy("value").agg(F.count("*").alias("n")).agg(as_map("cross"))
-    some = df.filter(where).select(text(filtered)).groupBy("value").agg(F.count("*").alias("n")).agg(as_map("filtered"))
+    counts = value_counts(df, dims).withColumn("value", text("value")).groupBy("dim").agg(as_map("m")).agg(F.map_from_entries(F.collect_list(F.struct("dim", "m"))).alias("counts"))
+    pairs = df.select(F.concat(text(cross[0]), F.lit("|"), text(cross[1])).alias("value")).groupBy("value").agg(F.count("*").alias("n")).agg(as_map("cross"))
+    some = df.filter(where).select(text(filtered).alias("value")).groupBy("value").agg(F.count("*").alias("n")).agg(as_map("filtered"))
     one = distinct_values(df, distinct)
     tag = lambda d: d.withColumn("k", F.lit(1))
     joined = tag(one).join(tag(counts), "k").join(tag(pairs), "k").join(tag(some), "k").drop("k")  # one row each
