@@ -121,7 +121,7 @@ def p5_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they share at least twelve consecutive words with."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return leak.pairs(_leaks(spark, sf_dir))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
