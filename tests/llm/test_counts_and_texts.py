@@ -1,7 +1,10 @@
 import itertools
 import random
+import re
 import unicodedata
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weirmill.llm import bitmaps, frequency, leak, mixing, skeleton
@@ -19,7 +22,7 @@ def _brute(rows):
 
 
 def test_counts_follow_changes(spark):
-    store = frequency.TermCounts(spark, scratch_path(spark, "t"), ["a", "b"], buckets=4)
+    store = frequency.TermCounts(spark, scratch_path(spark, "t"), ["a", "b"], log_buckets=4, count_buckets=4)
     schema = "record long, a string, b string, op string"
     rnd = random.Random(7)
     rows = []
@@ -30,7 +33,7 @@ def test_counts_follow_changes(spark):
         batch = [r for r in batch if r[0] not in gone]
         rows = [r for r in rows if r[0] not in gone] + [r[:3] for r in batch + fresh if r[3] != "delete"]
         store.apply(spark.createDataFrame(batch + fresh, schema).withColumn("n", F.lit(9)))
-        store = frequency.TermCounts(spark, store.path, ["a", "b"], buckets=4)  # as found on disk
+        store = frequency.TermCounts(spark, store.path, ["a", "b"], log_buckets=4, count_buckets=4)  # as found on disk
         got = {(r.field, r.value): (r.occurrences, r.records) for r in store.counts().filter("field <> '*'").collect()}
         assert got == _brute(rows)
     total = store.counts().filter("field = '*'").first()
@@ -43,6 +46,57 @@ def test_counts_follow_changes(spark):
     assert all((r.mark == "rare") == (r.records * 5 < total.records) and (r.mark == "common") == (r.records * 2 > total.records) for r in marks)
 
 
+def test_a_batch_reads_what_it_touches(spark, monkeypatch):
+    schema = "record long, a string, b array<string>, op string"
+    store = frequency.TermCounts(spark, scratch_path(spark, "t"), ["a", "b"], log_buckets=8, count_buckets=8)
+    want = {}
+    monkeypatch.setattr(frequency, "PARTS", 3)
+    read, plain = [], frequency.TermCounts.log
+    monkeypatch.setattr(frequency.TermCounts, "log", lambda self, buckets=None: read.append(buckets) or plain(self, buckets))
+    for step in range(frequency.PARTS + 3):
+        batch = [(i, f"v{i % 3}", ["x", "x", f"w{i}", None], "add") for i in range(200)] if step == 0 else [(7, f"new{step}", None if step % 2 else [], "replace")]
+        read.clear()
+        store.apply(spark.createDataFrame(batch, schema))
+        if step:
+            assert all(len(b) == 1 for b in read if b) and read
+            held = plain(store, read[-1])
+            plan = held._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") <= frequency.PARTS and len(re.findall(r"PartitionFilters: \[[^\]]*bucket", plan)) == plan.count("FileScan")
+            assert held.select(F.input_file_name().alias("f")).distinct().count() <= frequency.PARTS
+        want |= {r[0]: r for r in batch}
+    got = {(r.field, r.value): (r.occurrences, r.records) for r in store.counts().collect()}
+    occ = {}
+    for r in want.values():
+        for k in [("*", "*"), ("a", r[1]), *(("b", v) for v in r[2] or [] if v)]:
+            occ.setdefault(k, []).append(r[0])
+    assert got == {k: (len(v), len(set(v))) for k, v in occ.items()}
+
+
+def test_a_failed_batch_changes_nothing(spark, monkeypatch):
+    schema = "record long, a string, op string"
+    path = scratch_path(spark, "t")
+    store = frequency.TermCounts(spark, path, ["a"], 2, 2)
+    store.apply(spark.createDataFrame([(1, "x", "add")], schema))
+    more = spark.createDataFrame([(2, "x", "add"), (1, "y", "replace")], schema)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(frequency, "put_text", crash)
+    with pytest.raises(OSError):
+        store.apply(more)
+    monkeypatch.undo()
+    for again in (store, frequency.TermCounts(spark, path, ["a"])):
+        assert {tuple(r) for r in again.counts().filter("field = 'a'").collect()} == {("a", "x", 1, 1)}
+    store.apply(more)
+    assert {tuple(r) for r in frequency.TermCounts(spark, path, ["a"]).counts().filter("field = 'a'").collect()} == {("a", "x", 1, 1), ("a", "y", 1, 1)}
+    late = frequency.TermCounts(spark, path, ["a"])
+    late.manifest = {**late.manifest, "version": late.manifest["version"] - 1}  # another writer was first
+    with pytest.raises(FileExistsError):
+        late.apply(more)
+    assert {tuple(r) for r in frequency.TermCounts(spark, path, ["a"]).counts().filter("field = 'a'").collect()} == {("a", "x", 1, 1), ("a", "y", 1, 1)}
+
+
 def test_bitmaps_are_exact_and_merge(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice([1, 2, 3, None]), rnd.choice(["s", "t", None]), f"h{rnd.randrange(5000)}" if rnd.random() < 0.95 else None) for _ in range(6000)]
@@ -65,7 +119,7 @@ def test_bitmaps_are_exact_and_merge(spark):
     assert bitmaps.distinct_counts(df.limit(0), ["day", "src"], "host", "day").filter("distinct_count > 0").count() == 0
 
 
-def test_skeleton():
+def test_skeleton(spark):
     one = skeleton.skeleton
     same = [
         ("Đường dẫn", unicodedata.normalize("NFD", "Đường dẫn")), ("Đường", "Ðường"), ("paypal", "раураӏ"), ("code 12", "ｃｏｄｅ　１２"), ("find", "ﬁnd"), ("a b", " a \n\n b "),
@@ -78,12 +132,14 @@ def test_skeleton():
     for a, b in [("a", "á"), ("A", "a"), ("rn", "m"), ("0", "O"), ("1", "l"), ("ab", "a b"), ("ạ", "ậ"), ("đ", "d")]:
         assert one(a) != one(b)
     assert one(None) is None and one("​ \n") == "" and one("") == ""
-    assert all(one(v) == v for v in skeleton.LOOK_ALIKES.values())
+    assert [v for v in skeleton.look_alikes().values() if one(v) != v] == []
+    blanks = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert all(skeleton.reader().prototypes[ord(c)] == " " for c in blanks)
     long = "ѕрасе " * 200_000
     assert one(one(long)) == one(long) == ("space " * 200_000).strip()
 
 
-def test_letters_of_one_shape_in_any_script():
+def test_letters_of_one_shape_in_any_script(spark):
     for c, to in zip("\u03f9\u050c\u13aa\u2c9f\ua4ee\u217d\u2160\u216f\ua4f2\u2c9e", "CGAoAcIMIO"):
         assert skeleton.skeleton(f"a{c}") == "a" + to
         assert skeleton.words(f"A{c}") == ["a" + to.lower()]
@@ -100,7 +156,7 @@ def test_look_alike_pairs(spark, rows):
     assert skeleton.look_alike_pairs(docs.limit(0)).count() == 0
 
 
-def test_leaks_match_brute_force(spark, rows):
+def test_leaks_match_brute_force(spark, rows, monkeypatch):
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(12)] + ["ngân", "hàng", "Đèo"]
     items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(8, 40)))) for i in range(30)] + [(90, None), (91, ""), (None, "w1 " * 20)]
@@ -118,10 +174,35 @@ def test_leaks_match_brute_force(spark, rows):
     want = {(d, i) for d, t in docs if d is not None for ws in [skeleton.words(t)] for k in range(len(ws) - 11) for i, g in grams.items() if tuple(ws[k : k + 12]) in g}
     frames = spark.createDataFrame(docs, "doc_id long, text string").withColumn("at", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
     got = leak.leaks(*frames)
-    assert rows(got.select("doc_id", "item_id")) == want and len(want) > 20
-    assert rows(leak.leaks(*frames, block=100).select("doc_id", "item_id")) == want
+    assert rows(leak.pairs(got)) == want and len(want) > 20
     assert leak.leaks(frames[0], frames[1].limit(0)).count() == 0 and leak.leaks(frames[0].limit(0), frames[1]).count() == 0
+    covered = {}
+    for d, t in docs:
+        if d is not None:
+            held = {tuple(ws[k : k + 12]) for ws in [skeleton.words(t)] for k in range(len(ws) - 11)}
+            for i, t2 in items:
+                ws = skeleton.words(t2)
+                at = [k for k in range(len(ws) - 11) if i is not None and tuple(ws[k : k + 12]) in held]
+                if at:
+                    covered[d, i] = max(covered.get((d, i), (0, 0)), (len({k + x for k in at for x in range(12)}), len(ws)))
+    assert {(r.doc_id, r.item_id): (r.shared_words, r.item_words) for r in leak.shared(got).collect()} == covered
     assert leak.item_report(got).count() == len({i for _, i in want})
+    full = np.full(1 << (leak.LEAST_BITS - 3), 255, np.uint8)  # a filter that lets everything through loses nothing
+    monkeypatch.setattr(leak, "_filter", lambda *_: (full, leak.LEAST_BITS))
+    monkeypatch.setattr(leak, "small", lambda *_: False)  # and neither does the salted join
+    monkeypatch.setattr(leak, "CHUNK", 500)
+    assert rows(leak.pairs(leak.leaks(*frames))) == want
+
+
+def test_words_of_pieces_are_words_of_the_text(spark):
+    form = skeleton.reader()
+    rnd = random.Random(11)
+    alphabet = "aΣσς.' \u2028\t\u00a0é\u0301\u200bİıДж-_ｆﬁⅣ가\u1100\u1161ǅß½①ấ\u3000\u0345"
+    for _ in range(3000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14)))
+        assert form.words(text) == list(form._read(text)), text
+        assert len(form.word_hashes(text)) == len(form.words(text))
+    assert form.words(None) == [] and len(form.word_hashes(None)) == 0
 
 
 def test_flow_is_cheapest():

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,15 +56,17 @@ def test_long_chain_is_one_group(spark):
 
 def test_split_shares(spark):
     rnd = random.Random(5)
-    data = [(i, "hot" if rnd.random() < 0.3 else f"a{rnd.randrange(3000)}", None, "p" if rnd.random() < 0.8 else "b", None, "x") for i in range(8000)]
+    data = [(i, "hot" if rnd.random() < 0.3 else f"a{rnd.randrange(4000)}", None, rnd.choices(["p", "b", "r", "q", None], [80, 15, 2, 0.1, 3])[0], None, "x") for i in range(20_000)]
     got = splits.assign(_graph(spark, data), TARGETS)
     rows = got.collect()
-    assert len(rows) == len({r.record for r in rows}) == 8000
+    assert len(rows) == len({r.record for r in rows}) == 20_000
     assert got.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
     for s, p in TARGETS:
-        assert abs(sum(r.split == s for r in rows) / 8000 - p) < 0.01
+        assert abs(sum(r.split == s for r in rows) / 20_000 - p) < 0.01
     report = splits.report(got, spark.createDataFrame([("train", 7000), ("val", 1500), ("test", 1500)], "split string, share_bp long"))
-    assert report.count() == 6 and all(abs(r.deviation) < 0.05 for r in report.collect())
+    n = Counter(r[3] or "" for r in data)
+    assert report.count() == 15 and all(abs(r.deviation) < 0.01 for r in report.collect() if n[r.label] >= 400)
+    assert all(abs(r.deviation) * n[r.label] <= 6 for r in report.collect() if n[r.label] < 400)
     assert splits.assign(_graph(spark, []), TARGETS).count() == 0
     assert {tuple(r) for r in splits.assign(_graph(spark, data), TARGETS).collect()} == {tuple(r) for r in rows}
 
@@ -103,6 +107,42 @@ def test_near_strings_match_brute_force(spark, alphabet):
     assert all(0 < r.cosine <= 1 for r in got)
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.9])
+def test_cosine_join_matches_brute_force(spark, threshold):
+    rnd = random.Random(12)
+    words = ["login", "bank", "pay", "post", "shop", "mail", "a", "zz"]
+    base = sorted({"-".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) + rnd.choice([".test", ".example"]) for _ in range(160)})
+    other = sorted({s if rnd.random() < 0.2 else s[: (i := rnd.randrange(len(s)))] + rnd.choice(["x", "", "-new"]) + s[i:] for s in base} | {"x", "y" * 300})
+    n = np.bincount((overlap.grams(base + other, overlap.GRAM)[2] % np.uint64(overlap.CELLS)).astype(int), minlength=overlap.CELLS)
+    weights = 1 + np.log(n.max() / np.maximum(n, 1))
+    vector = lambda s: Counter(int(x) for x in overlap.grams([s], overlap.GRAM)[2])
+    w = lambda x: weights[x % overlap.CELLS]
+    va, vb = {s: vector(s) for s in base}, {s: vector(s) for s in other}
+    norm = lambda v: sum(c * w(x) for x, c in v.items()) ** 0.5
+    want = {}
+    for a, x in va.items():
+        for b, y in vb.items():
+            cos = sum(min(c, y[g]) * w(g) for g, c in x.items()) / (norm(x) * norm(y))
+            if cos >= threshold:
+                want[a, b] = cos
+    frame = lambda x: spark.createDataFrame([(s,) for s in [*x, None]], "text string").filter("text is not null")
+    got = {(r.a, r.b): r.cosine for r in overlap.cosine_join(frame(base), frame(other), threshold).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 30
+    assert overlap.cosine_join(frame(base), frame([]), threshold).count() == 0
+
+
+def test_hot_hosts_are_spread(spark, rows):
+    data = [(i, "hot.test", "train") for i in range(4000)] + [(10_000 + i, h, "val") for i, h in enumerate(["hots.test", "hot.test", "cold.test"])] + [(20_000 + i, f"c{i:04d}.example", "train") for i in range(2000)]
+    df = spark.createDataFrame(data, "record_id long, host string, split string")
+    pairs = overlap.host_pairs(df)
+    got = overlap.record_pairs(df, pairs)
+    assert rows(got) == {(i, j) for i in range(4000) for j in (10_000, 10_001)}
+    join = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("salt" in x for x in join)
+    counted = rows(overlap.pair_counts(df, pairs))
+    assert counted == {("hot.test", "hot.test", False, 4000, 1), ("hot.test", "hots.test", True, 4000, 1)}
+
+
 def test_record_pairs(spark, rows):
     data = [(1, "a.test", "train"), (1, "a.test", "train"), (2, "a.test", "val"), (3, "b.test", "test"), (4, "ab.test", "val"), (5, None, "val"), (None, "a.test", "val"), (6, "a.test", None), (7, "zz.test", "train")]
     df = spark.createDataFrame(data, "record_id long, host string, split string").withColumn("text", F.lit("clash"))

@@ -1,79 +1,153 @@
-"""How often every distinct value occurs and in how many records, kept up to date by signed deltas.
+"""How often every distinct value or term occurs and in how many records, kept up to date by signed deltas.
 
-A store holds a log of what was delivered and withdrawn for each record, and counts of every value partitioned by a
-hash of it. A batch of added, changed or deleted records is aggregated alone: with the earlier log of the records it
-touches, and of no others, it gives signed changes of occurrences and records of each value; these are merged into the
-partitions of the counts they fall in, written as a new version, and made current by renaming one small manifest. A
-batch that fails leaves the manifest as it was and can be applied again.
+A store holds a log of what was delivered and withdrawn for each record, partitioned by a hash of the record, and counts
+of every value, partitioned by a hash of the value. A batch of added, changed or deleted records is aggregated alone: with
+the log of the partitions its records fall in it gives signed changes of occurrences and records of each value, which are
+merged into the partitions of the counts they fall in. So a batch costs what it touches, not what came before it. New
+files are made current by a manifest of the next number, which is written beside and renamed; a batch that fails leaves
+the manifests as they were and can be applied again. A partition of the log in more than ``PARTS`` files is rewritten net.
 
-Defined results: a null value is no value; a row without a record id adds to occurrences, not to records; a record
-delivered several times, with the same or other values, counts once under each value it holds.
+A field is one value a row or, as an array, several: the words of a text.
+
+Defined results: a null value is no value, a null array none; a row without a record id adds to occurrences, not to
+records; a record delivered several times, with the same or other values, counts once under each value it holds.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
+import uuid
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from weirmill.session import exists, read_text, write_text
+from weirmill.session import names_in, put_text, read_text
 
 #: The pseudo-field under which all rows and records are counted.
 ALL = "*"
+#: Versions of a partition of the log that are read together before it is rewritten as one.
+PARTS = 8
+#: Rows of a partition that callers size their stores for.
+BUCKET_ROWS = 500_000
+COUNTS = "field string, value string, occurrences long, records long, bucket int"
 
 
-class TermCounts:
-    """Persistent partitioned counts of the values of ``fields`` under ``path``, a folder all executors share."""
+def buckets_for(rows: int) -> int:
+    """Partitions in proportion to the rows."""
+    return max(1, -(-rows // BUCKET_ROWS))
+
 
-    def __init__(self, spark: SparkSession, path: str, fields: list[str], buckets: int = 32):
-        self.spark, self.path, self.fields, self.buckets = spark, path.rstrip("/"), list(fields), buckets
-        at = f"{self.path}/manifest.json"
-        self.manifest = json.loads(read_text(spark, at)) if exists(spark, at) else {"version": 0, "log": [], "counts": {}}
+class TermCounts:
+    """Persistent partitioned counts of the values of ``fields`` under ``path``, a folder all executors share. The numbers
+    of partitions are those the store was made with."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: list[str], log_buckets: int = 16, count_buckets: int = 16):
+        self.spark, self.path, self.fields = spark, path.rstrip("/"), list(fields)
+        there = [n for n in names_in(spark, f"{self.path}/manifests") if n.endswith(".json")]
+        fresh = {"version": 0, "log_buckets": log_buckets, "count_buckets": count_buckets, "schema": None, "log": {}, "counts": {}}
+        self.manifest = json.loads(read_text(spark, f"{self.path}/manifests/{there[-1]}")) if there else fresh
+
+    def _read(self, kind: str, schema: StructType | str, versions: dict[str, list[int]]) -> DataFrame | None:
+        """The given partitions of each version; the others are pruned."""
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{v}").filter(F.col("bucket").isin(bs)) for v, bs in sorted(versions.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def log(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """``(record, fields ..., n, bucket)``: signed deliveries of the records of some partitions, or of all."""
+        by: dict[str, list[int]] = {}
+        for b, versions in self.manifest["log"].items():
+            if buckets is None or int(b) in buckets:
+                for v in versions:
+                    by.setdefault(v, []).append(int(b))
+        if not by:
+            return None
+        return self._read("log", self._log_schema(), by)
 
-    def log(self) -> DataFrame | None:
-        """``(record, fields ..., n)``: signed deliveries of every record."""
-        return self.spark.read.parquet(*(f"{self.path}/log/{v}" for v in self.manifest["log"])) if self.manifest["log"] else None
+    def _write(self, df: DataFrame, kind: str, version: str, buckets: int) -> list[int]:
+        """Write a version, a task and file a partition; gives the partitions there are."""
+        at = f"{self.path}/{kind}/{version}"
+        df.repartition(buckets, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(at)
+        return [int(n.split("=")[1]) for n in names_in(self.spark, at) if n.startswith("bucket=")]
 
     def apply(self, batch: DataFrame) -> None:
         """Apply ``batch(record, fields ..., op)``: op ``add`` delivers a row of a record, ``replace`` puts its rows in
         place of all earlier ones of the record, ``delete`` withdraws all earlier ones (its values are not read)."""
-        version, cols = self.manifest["version"] + 1, ["record", *self.fields]
-        log = self.log()
-        op = F.coalesce("op", F.lit("add"))
-        change = batch.filter(op != "delete").select(*cols, F.lit(1).alias("n"))
-        if log is not None:
-            gone = batch.filter(op.isin("replace", "delete") & F.col("record").isNotNull()).select("record").distinct().hint("merge")
-            change = change.unionByName(log.join(gone, "record", "left_semi").select(*cols, (-F.col("n")).alias("n")))
-        change = change.groupBy(*cols).agg(F.sum("n").cast("long").alias("n")).filter("n <> 0")
-        change.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/log/{version}")
-        change = self.spark.read.schema(change.schema).parquet(f"{self.path}/log/{version}")
-        deltas = self._deltas(change, log)
-        bucket = F.pmod(F.xxhash64("field", "value"), F.lit(self.buckets)).cast("int")
-        deltas = deltas.withColumn("bucket", bucket)
-        old = self._counts()
-        if old is not None:
-            touched = [r["bucket"] for r in deltas.select("bucket").distinct().collect()]  # at most one a bucket
-            deltas = deltas.unionByName(old.filter(F.col("bucket").isin(touched)))
-        merged = deltas.groupBy("bucket", "field", "value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("occurrences <> 0 or records <> 0")
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/{version}")
-        now = dict(self.manifest["counts"])
-        for b in range(self.buckets) if old is None else touched:
-            now.pop(str(b), None)
-            if exists(self.spark, f"{self.path}/counts/{version}/bucket={b}"):
-                now[str(b)] = version
-        self.manifest = {"version": version, "log": [*self.manifest["log"], version], "counts": now}
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.manifest))
-
-    def _deltas(self, change: DataFrame, log: DataFrame | None) -> DataFrame:
+        m, cols = self.manifest, ["record", *self.fields]
+        number, log_buckets, count_buckets = m["version"] + 1, m["log_buckets"], m["count_buckets"]
+        version = f"{number}-{uuid.uuid4().hex}"  # no other writer's folder, nor one of an attempt that failed
+        own = F.pmod(F.xxhash64("record"), F.lit(log_buckets))
+        staged = batch.select(*cols, F.coalesce("op", F.lit("add")).alias("op"), F.when(F.col("record").isNull(), F.pmod(F.xxhash64(*self.fields), F.lit(log_buckets))).otherwise(own).cast("int").alias("bucket"))
+        schema = batch.select(*cols).schema.jsonValue()
+        wiping = F.col("op").isin("replace", "delete") & F.col("record").isNotNull()
+        change = staged.filter("op <> 'delete'").select(*cols, "bucket", F.lit(1).alias("n"))
+        if m["log"]:
+            met = staged.filter("record is not null").groupBy("bucket").agg(F.max(wiping).alias("w")).collect()  # at most one a partition
+            wiped = self.log([r["bucket"] for r in met if r["w"]])
+            if wiped is not None:
+                gone = staged.filter(wiping).select("record").distinct().hint("merge")  # ids of a batch have no bound: never broadcast
+                change = change.unionByName(wiped.join(gone, "record", "left_semi").select(*cols, "bucket", (-F.col("n")).alias("n")))
+            old = self.log([r["bucket"] for r in met])
+        else:
+            old = None
+        change = change.groupBy(*cols, "bucket").agg(F.sum("n").cast("long").alias("n")).filter("n <> 0")
+        written = self._write(change, "log", version, log_buckets)
+        log = {b: list(v) for b, v in m["log"].items()}
+        for b in written:
+            log.setdefault(str(b), []).append(version)
+        self.manifest = {**m, "schema": m["schema"] or schema, "log": log}
+        change = self._read("log", self._log_schema(), {version: written})
+        counts = dict(m["counts"])
+        if change is not None:
+            deltas = self._deltas(change, old).withColumn("bucket", F.pmod(F.xxhash64("field", "value"), F.lit(count_buckets)).cast("int"))
+            if counts:
+                touched = [r["bucket"] for r in deltas.select("bucket").distinct().collect()] if count_buckets > 1 else [0]  # at most one a partition
+                held = self._read("counts", COUNTS, self._by_version(counts, touched))
+                deltas = deltas if held is None else deltas.unionByName(held)
+            else:
+                touched = list(range(count_buckets))
+            merged = deltas.groupBy("bucket", "field", "value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("occurrences <> 0 or records <> 0")
+            there = self._write(merged, "counts", version, count_buckets)
+            for b in touched:
+                counts.pop(str(b), None)
+            counts |= {str(b): version for b in there}
+        long = [int(b) for b, v in log.items() if len(v) > PARTS]
+        if long:  # withdrawn deliveries go, the rest becomes one file a partition
+            net = self.log(long).groupBy(*cols, "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
+            left = self._write(net, "log", f"{version}-net", log_buckets)
+            log |= {str(b): [f"{version}-net"] for b in left}
+            log = {b: v for b, v in log.items() if int(b) not in long or int(b) in left}
+        self.manifest = {**self.manifest, "version": number, "log": log, "counts": counts}
+        try:
+            put_text(self.spark, f"{self.path}/manifests/{number:012d}.json", json.dumps(self.manifest))
+        except BaseException:
+            self.manifest = m
+            raise
+
+    def _log_schema(self) -> StructType:
+        return StructType.fromJson(self.manifest["schema"]).add("n", "long").add("bucket", IntegerType())
+
+    @staticmethod
+    def _by_version(counts: dict[str, str], buckets: list[int] | None = None) -> dict[str, list[int]]:
+        by: dict[str, list[int]] = {}
+        for b, v in counts.items():
+            if buckets is None or int(b) in buckets:
+                by.setdefault(v, []).append(int(b))
+        return by
+
+    def _deltas(self, change: DataFrame, old: DataFrame | None) -> DataFrame:
         """Signed ``(field, value, occurrences, records)`` of one batch. Rows of a record are brought together once; the
         counts per record and value and the signs need no further shuffle of records."""
-        both = change.withColumn("was", F.lit(0).cast("long"))
-        if log is not None:
-            touched = log.join(change.select("record").distinct().hint("merge"), "record", "left_semi")  # ids of a batch have no bound: never broadcast
+        both = change.select("record", *self.fields, "n", F.lit(0).cast("long").alias("was"))
+        if old is not None:
+            touched = old.join(change.select("record").distinct().hint("merge"), "record", "left_semi")
             both = both.unionByName(touched.select("record", *self.fields, F.lit(0).cast("long").alias("n"), F.col("n").alias("was")))
-        terms = F.array(F.struct(F.lit(ALL).alias("field"), F.lit(ALL).alias("value")), *(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in self.fields))
+        one = lambda f, v: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))
+        several = {f for f in self.fields if isinstance(change.schema[f].dataType, ArrayType)}
+        terms = F.array(one(ALL, F.lit(ALL)), *(one(f, F.col(f)) for f in self.fields if f not in several))
+        for f in sorted(several):
+            terms = F.concat(terms, F.coalesce(F.transform(f, partial(one, f)), F.array().cast("array<struct<field:string,value:string>>")))
         spread = lambda d: d.select("record", "n", "was", F.inline(terms)).filter(F.col("value").isNotNull())
         known = spread(both.filter(F.col("record").isNotNull()).repartition("record"))
         per = known.groupBy("record", "field", "value").agg(F.sum("n").alias("n"), F.sum("was").alias("was"))
@@ -82,19 +156,9 @@ class TermCounts:
         loose = spread(change.filter(F.col("record").isNull()).withColumn("was", F.lit(0).cast("long"))).select("field", "value", "n", F.lit(0).alias("sign"))
         return per.unionByName(loose).groupBy("field", "value").agg(F.sum("n").cast("long").alias("occurrences"), F.sum("sign").cast("long").alias("records"))
 
-    def _counts(self) -> DataFrame | None:
-        by_version: dict[int, list[int]] = {}
-        for b, v in self.manifest["counts"].items():
-            by_version.setdefault(v, []).append(int(b))
-        if not by_version:
-            return None
-        schema = "field string, value string, occurrences long, records long, bucket int"
-        parts = [self.spark.read.schema(schema).option("basePath", f"{self.path}/counts/{v}").parquet(*(f"{self.path}/counts/{v}/bucket={b}" for b in bs)) for v, bs in sorted(by_version.items())]
-        return reduce(DataFrame.unionByName, parts)
-
     def counts(self) -> DataFrame:
         """``(field, value, occurrences, records)``, the whole collection under the field ``*``."""
-        got = self._counts()
+        got = self._read("counts", COUNTS, self._by_version(self.manifest["counts"]))
         if got is None:
             return self.spark.createDataFrame([], "field string, value string, occurrences long, records long")
         return got.drop("bucket")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmill.functions.hosts import with_registrable
+from weirmill.functions.hosts import host, with_registrable
 from weirmill.functions.text import blank_pieces, category
 from weirmill.llm import bitmaps, frequency, leak, mixing, overlap, sample, skeleton, splits
 from weirmill.plans.tables import table, url_records
-from weirmill.session import scratch_path
+from weirmill.session import scratch_path, write_table
 
 FIELDS = ["source", "scenario", "tier", "label"]
 
@@ -31,7 +31,7 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registrable domains whose records have two or more different splits."""
-    return splits.split_entities(_graph(spark, sf_dir)).select("entity")
+    return splits.split_entities(_graph(spark, sf_dir))
 
 
 def p1_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,15 +44,43 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.report(_assigned(spark, sf_dir), _targets(spark, sf_dir))
 
 
+def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that belong together by registrable domain or by equal text, over any number of steps: the group of each,
+    named by its least document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", host(F.col("domain")).alias("host"), F.when(F.length("text") > 0, F.md5(F.col("text").cast("binary"))).alias("text_id"))
+    d = with_registrable(d, "host", table(spark, sf_dir, "psl"))
+    g = splits.build(d.select("doc_id", "registrable", "text_id"), "doc_id", ["registrable", "text_id"], F.lit(None).cast("string"))
+    return splits.groups_of(g).select(F.col("record").alias("doc_id"), "group_id", "size")
+
+
+def _hosted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Record, host and split of every delivery, its host read once."""
+    return write_table(url_records(spark, sf_dir).select("record_id", "host", "split", *more).distinct(), "hosted")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train and an evaluation record whose hosts are equal or one edit apart."""
-    rows = url_records(spark, sf_dir).select("record_id", "host", "split")
+    rows = _hosted(spark, sf_dir)
     return overlap.record_pairs(rows, overlap.host_pairs(rows))
 
 
+def p2_host_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and an evaluation host, equal or one edit apart, with their records."""
+    rows = _hosted(spark, sf_dir)
+    return overlap.pair_counts(rows, overlap.host_pairs(rows))
+
+
+def p2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and evaluation hosts whose vectors of character grams have a cosine of at least 0.9."""
+    rows = _hosted(spark, sf_dir).filter("host is not null")
+    per = write_table(rows.groupBy(F.col("host").alias("text")).agg(F.max(F.col("split") == "train").alias("t"), F.max(F.col("split").isin("val", "test")).alias("e")), "hosts")
+    near = overlap.cosine_join(per.filter("t").select("text"), per.filter("e").select("text"), 0.9)
+    return near.select(F.col("a").alias("host_a"), F.col("b").alias("host_b"), F.round("cosine", 9).alias("cosine"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records that overlap with train, per split and source."""
-    rows = url_records(spark, sf_dir).select("record_id", "host", "split", "source")
+    rows = _hosted(spark, sf_dir, "source")
     return overlap.report(rows, overlap.host_pairs(rows))
 
 
@@ -86,15 +114,30 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_records(spark, sf_dir).select(F.col("record_id").alias("record"), *FIELDS, "host", "ingested_at")
+
+
+def _store(spark: SparkSession, fields: list[str], rows: int) -> frequency.TermCounts:
+    n = frequency.buckets_for(rows)
+    return frequency.TermCounts(spark, scratch_path(spark, "term-counts"), fields, log_buckets=n, count_buckets=n)
+
+
+def _batches(rows: DataFrame) -> tuple[list[DataFrame], int]:
+    """The rows in three batches in the order of ingestion, up to 8, 9 and 10 tenths of the time, and how many there are."""
+    ends = rows.agg(F.unix_micros(F.min("ingested_at")).alias("a"), F.unix_micros(F.max("ingested_at")).alias("b"), F.count("*").alias("n")).first()
+    a, length = ends["a"] or 0, max(1, (ends["b"] or 0) - (ends["a"] or 0))
+    at = (F.coalesce(F.unix_micros("ingested_at"), F.lit(a)) - F.lit(a)) / F.lit(length)
+    cuts = ((-1.0, 0.8), (0.8, 0.9), (0.9, 2.0))
+    return [rows.filter((at > low) & (at <= high)) for low, high in cuts], ends["n"]
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> frequency.TermCounts:
-    """The store after three batches in the order of ingestion: the first four fifths of the time, then two tenths."""
-    u = url_records(spark, sf_dir)
-    ends = u.agg(F.unix_micros(F.min("ingested_at")).alias("a"), F.unix_micros(F.max("ingested_at")).alias("b")).first()
-    at = F.when(F.col("ingested_at").isNull() | F.lit(ends["a"] is None), 0).otherwise((F.unix_micros("ingested_at") - F.lit(ends["a"])) / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0))))
-    rows = u.select(F.col("record_id").alias("record"), *FIELDS, F.lit("add").alias("op"), at.alias("at"))
-    store = frequency.TermCounts(spark, scratch_path(spark, "term-counts"), FIELDS)
-    for low, high in ((-1.0, 0.8), (0.8, 0.9), (0.9, 2.0)):
-        store.apply(rows.filter((F.col("at") > low) & (F.col("at") <= high)).drop("at"))
+    """The store after three batches of deliveries."""
+    batches, n = _batches(_delivered(spark, sf_dir).drop("host"))
+    store = _store(spark, FIELDS, n)
+    for rows in batches:
+        store.apply(rows.select("record", *FIELDS, F.lit("add").alias("op")))
     return store
 
 
@@ -113,6 +156,30 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir)
 
 
+def p4_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts where later deliveries replace a record's earlier ones and records whose last delivery names no host are
+    deleted: the same three batches, then the deletions."""
+    rows = _delivered(spark, sf_dir)
+    batches, n = _batches(rows.filter("record is not null"))
+    store = _store(spark, FIELDS, n)
+    last = F.max(F.struct("ingested_at", *FIELDS, "host")).alias("last")  # of a record's deliveries in a batch
+    for i, some in enumerate(batches):
+        kept = some.groupBy("record").agg(last).select("record", "last.*")
+        store.apply(kept.select("record", *FIELDS, F.lit("replace" if i else "add").alias("op")))
+    gone = rows.filter("record is not null").groupBy("record").agg(last).filter("last.host is null")
+    store.apply(gone.select("record", *(F.lit(None).cast("string").alias(f) for f in FIELDS), F.lit("delete").alias("op")))
+    return store.marked(F.col("total") / 500, F.col("total") / 2)
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and documents of every word of the texts; words in fewer than 3 documents or more than half are marked."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+"), lambda w: w != "")
+    store = _store(spark, ["word"], docs.count())
+    store.apply(docs.select(F.col("doc_id").alias("record"), words.alias("word"), F.lit("add").alias("op")))
+    return store.marked(F.lit(3), F.col("total") / 2).select(F.col("field_value").alias("word"), "occurrences", F.col("records").alias("documents"), "mark")
+
+
 def p5_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct hosts per day, source, scenario and every combination of these. Error bound: zero."""
     u = url_records(spark, sf_dir).select("day", "source", "scenario", "host")
@@ -168,4 +235,4 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", skeleton.one_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p2_found, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_counts, p5_distinct_hosts, p7_found, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_linked, p2_found, p2_host_pairs, p2_similar, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_counts, p4_changed, p4_terms, p5_distinct_hosts, p7_found, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_classes, p9_forms)}

@@ -21,8 +21,8 @@ from weirmill.session import write_table
 
 #: Groups with more than this part of all records are dealt one by one; there are fewer than its inverse.
 HEAVY_PART = 1 / 2000
-#: Labels held by less than this part of all records are balanced together.
-LABEL_PART = 1 / 200
+#: So many labels, the commonest, are balanced each by itself, the others together.
+LABELS = 200
 CELL_ROWS = 50_000
 
 
@@ -96,14 +96,18 @@ def grouped(g: Graph) -> DataFrame:
 
 
 def split_entities(g: Graph) -> DataFrame:
-    """``(entity, component)`` of each entity whose records have two or more different values of the given split."""
+    """``(entity)`` of each entity whose records have two or more different values of the given split."""
     edges = g.records.filter("entity is not null and entity = last").select("entity", "low", "high")
     if g.bridges is not None:
         edges = edges.unionByName(g.bridges.select("entity", "low", "high"))
-    mixed = edges.groupBy("entity").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    if g.labels is None:
-        return mixed.select("entity", F.col("entity").alias("component"))
-    return mixed.join(g.labels, "entity", "left").select("entity", F.coalesce("component", "entity").alias("component"))
+    return edges.groupBy("entity").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("entity")
+
+
+def groups_of(g: Graph) -> DataFrame:
+    """``(record, group_id, size)``: the group of each record named by its least record. Counted on the map side."""
+    records = grouped(g).select("record", "component")
+    per = records.groupBy("component").agg(F.min("record").alias("group_id"), F.count("*").alias("size"))
+    return records.join(per, "component").select("record", "group_id", "size")
 
 
 def balance(sizes: list[tuple[str, list[int]]], totals: list[int], shares: dict[str, float]) -> tuple[dict[str, str], dict[str, list[int]]]:
@@ -124,9 +128,10 @@ def assign(g: Graph, targets: list[tuple[str, float]], seed: int = 17) -> DataFr
     """``(record, component, label, split)``: a split for every record, the same for all records of a component.
 
     The groups over ``HEAVY_PART`` of all records (fewer than 2,000, so small enough for the driver) are dealt one by
-    one by :func:`balance`. All others are stratified by the label most of their records have; within a stratum they
-    stand in a seeded order and the line of their records is cut at what the heavy groups left of each split's target.
-    A stratum so comes within one light group of its share, whatever the number of groups.
+    one by :func:`balance`. All others are stratified by the rarest label they hold, so that each label's groups are
+    shared out among themselves; within a stratum they stand in a seeded order and the line of their records of that label is cut at
+    what the heavy groups left of each split's target. A stratum so comes within one light group of its share, whatever
+    the number of groups.
     """
     shares = {s: p for s, p in targets if s is not None and p}
     if not shares:
@@ -138,8 +143,8 @@ def assign(g: Graph, targets: list[tuple[str, float]], seed: int = 17) -> DataFr
     total = g.records.count()
     if not total:
         return records.withColumn("split", F.lit(None).cast("string"))
-    counts = g.records.groupBy(F.coalesce("label", F.lit("")).alias("label")).count().filter(F.col("count") >= total * LABEL_PART)
-    kept = sorted((r["label"], r["count"]) for r in counts.collect())  # at most 200
+    counts = g.records.groupBy(F.coalesce("label", F.lit("")).alias("label")).count().orderBy(F.desc("count"), "label").limit(LABELS)
+    kept = sorted(((r["label"], r["count"]) for r in counts.collect()), key=lambda x: (x[1], x[0]))  # rarest first
     names, totals = [n for n, _ in kept], [n for _, n in kept]
     totals.append(total - sum(totals))
     per = [F.count_if(F.col("label") == n) for n in names] + [F.count_if(~F.col("label").isin(names))]
@@ -147,12 +152,13 @@ def assign(g: Graph, targets: list[tuple[str, float]], seed: int = 17) -> DataFr
     heavy = groups.filter(F.col("n") > total * HEAVY_PART).select("component", "by").collect()
     dealt, held = balance([(r["component"], list(r["by"])) for r in heavy], totals, shares)
 
-    light = groups.filter(F.col("n") <= total * HEAVY_PART).withColumn("stratum", F.array_position("by", F.array_max("by")) - 1)
+    light = groups.filter(F.col("n") <= total * HEAVY_PART).withColumn("stratum", F.coalesce(*(F.when(F.col("by")[k] > 0, F.lit(k)) for k in (len(names), *range(len(names))))))
     n_light = light.agg(F.count("*").alias("n")).first()["n"]
-    light = running_sum(light, ["stratum"], seeded(F.col("component"), seed=seed), F.col("n"), max(1, -(-n_light // CELL_ROWS)), "before")
-    strata = light.groupBy("stratum").agg(F.sum("n").alias("of")).withColumnRenamed("stratum", "s")
+    light = light.withColumn("own", F.col("by")[F.col("stratum")])  # records of the stratum's label: what is cut
+    light = running_sum(light, ["stratum"], seeded(F.col("component"), seed=seed), F.col("own"), max(1, -(-n_light // CELL_ROWS)), "before")
+    strata = light.groupBy("stratum").agg(F.sum("own").alias("of")).withColumnRenamed("stratum", "s")
     light = light.join(F.broadcast(strata), F.col("stratum") == F.col("s"))  # a row a label, at most 201
-    at = (F.col("before") + F.col("n") / 2) / F.col("of")
+    at = (F.col("before") + F.col("own") / 2) / F.col("of")
     left = [[max(0.0, shares[s] * t - held[s][k]) for s in shares] for k, t in enumerate(totals)]
     left = [x if sum(x) else list(shares.values()) for x in left]
     chosen = F.lit(list(shares)[-1])
@@ -183,4 +189,4 @@ def report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     return by_label.select("split", "label", "records", F.round(share, 6).alias("share"), F.round(share - F.col("target"), 6).alias("deviation"))
 
 
-__all__ = ["Graph", "assign", "balance", "build", "grouped", "propagate", "report", "split_entities"]
+__all__ = ["Graph", "assign", "balance", "build", "grouped", "groups_of", "propagate", "report", "split_entities"]
