@@ -1,27 +1,22 @@
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tests.compare import check, tables
+from weirmill.plans import core, skewed
 
-SF = "/root/testdata/sf0.001"
-NAMES = ["audit_counts", "boundary_match", "p6_found", "temporal_split", "stratified_sample", "latest_revision", "confusion_metrics"]
+
+@pytest.fixture(scope="module")
+def con():
+    return tables()
 
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("url_audit", "documents", "corpus", "events", "orders", "lineitem", "psl"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got = entry.queries()[name](spark, SF)
-    want = con.execute(entry.oracle_sql()[name])
-    columns = [c[0] for c in want.description]
-    key = lambda r: tuple(f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r)
-    assert sorted(columns) == sorted(got.columns)
-    assert sorted(map(key, want.fetchall())) == sorted(map(key, got.select(*columns).collect()))
+@pytest.mark.parametrize("name", sorted({**core.ORACLES, **skewed.ORACLES}))
+def test_query_equals_sql(spark, con, name):
+    check(spark, con, name)
 
 
 def test_entry(spark):

@@ -6,8 +6,10 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from weirmill.functions import text
 from weirmill.operators import audit, contract, groups, matching, metrics, models
 from weirmill.operators.skew import two_stage
+from weirmill.streaming import navigation
 
 SCORED = [(s, 1) for s in (0.9, 0.8, 0.8, 0.4)] + [(s, 0) for s in (0.8, 0.3, 0.2, 0.1)]
 
@@ -210,3 +212,63 @@ def test_report_with_null_and_empty(spark):
     got = json.loads(audit.report(df, ["p", "q"], "q", ("p", "q"), F.lit(True), "q").first()[0])
     assert got["counts"]["q"] == {"\u0000null": 1, "": 1, "x": 2} and got["counts"]["p"] == {"a": 2, "\u0000null": 1, "": 1}
     assert got["cross"] == {"a|\u0000null": 1, "a|": 1, "\u0000null|x": 1, "|x": 1} and got["filtered"] == {"\u0000null": 1, "": 1, "x": 2}
+
+
+def _as_of(left, right):
+    out = []
+    for i, k, t in left:
+        seen = [(rt, v) for rk, rt, v in right if rk == k and k is not None and rt is not None and t is not None and rt <= t and v is not None]
+        last = max(seen)[0] if seen else None
+        out.append((i, max(v for rt, v in seen if rt == last) if seen else None))
+    return set(out)
+
+
+def test_as_of_carries_over_ranges(spark, rows):
+    rnd = random.Random(3)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    key = lambda: "hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", "c"])
+    left = [(i, key(), day(rnd.randrange(3000))) for i in range(400)] + [(900, "hot", None), (901, "none", day(5))]
+    right = [(key(), day(rnd.randrange(3000)), rnd.choice([1, 2, None])) for _ in range(150)] + [("hot", None, 7), ("hot", day(10), 5), ("hot", day(10), 3)]
+    got = matching.as_of(spark.createDataFrame(left, "i int, k string, t timestamp"), spark.createDataFrame(right, "k string, u timestamp, v int"), "k", "t", "u", "v", "last")
+    assert rows(got.select("i", "last")) == _as_of(left, right)
+    assert matching.as_of(spark.createDataFrame([], "i int, k string, t timestamp"), spark.createDataFrame(right, "k string, u timestamp, v int"), "k", "t", "u", "v", "last").count() == 0
+
+
+def test_client_outcomes(spark, rows):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    data = [("t", at(0), 900), ("t", at(1), 3000), ("t", at(2), 6000), ("t", at(20), None), ("u", at(0), 5000), ("u", at(5), 5001)]
+    got = navigation.outcomes(spark.createDataFrame(data, "tab string, ts timestamp, ms int"), "tab", "ts", F.col("ms"))
+    assert rows(got.select("tab", "ts", "outcome")) == {("t", at(0), "answered"), ("t", at(1), "superseded"), ("t", at(2), "unable_to_assess"), ("t", at(20), "unable_to_assess"), ("u", at(0), "answered"), ("u", at(5), "unable_to_assess")}
+
+
+def test_scopes_and_relations(spark, rows):
+    rules = spark.createDataFrame([("O1", "brand.test", None, "first_party_identity"), ("O1", "brand.test", "/shop/", "authorized_service"), ("O1", "u.brand.test", None, "user_content_hosting")], "org_id string, hostname string, path_prefix string, role string")
+    urls = spark.createDataFrame([("brand.test", "/shop/x"), ("brand.test", "/shop"), ("brand.test", "/shopping"), ("a.u.brand.test", "/shop/x"), ("notbrand.test", "/"), (None, "/"), ("brand.test", None)], "h string, p string")
+    got = rows(matching.scope_matches(urls, "h", F.col("p"), rules).select("host", "path", "role"))
+    first, shop, user = "first_party_identity", "authorized_service", "user_content_hosting"
+    assert got == {("brand.test", "/shop/x", shop), ("brand.test", "/shop", shop), ("brand.test", "/shopping", first), ("a.u.brand.test", "/shop/x", user), ("brand.test", "/", first)}
+    cases = [(None, first, "O1", "not_applicable"), ("O1", user, "O1", "unverified_shared_hosting"), ("O1", first, "O1", "verified_first_party"), ("O1", shop, "O1", "verified_authorized"), ("O1", first, "O2", "mismatch"), ("O1", None, None, "unverified"), ("O1", "unverified", "O1", "unverified")]
+    df = spark.createDataFrame(cases, "org string, role string, rule_org string, want string")
+    assert df.filter(matching.relation(F.col("org"), F.col("role"), F.col("rule_org")) != F.col("want")).count() == 0
+
+
+def test_selection(spark, rows):
+    df = spark.createDataFrame([(1, "h1", "g1"), (2, "h2", "g2"), (3, None, "g1"), (4, "h4", None), (5, "h5", "g5")], "id int, sha string, g string")
+    assert rows(groups.without(df, df.filter("id in (1, 4)"), ["id", "sha", "g"]).select("id")) == {(2,), (5,)}
+    assert groups.without(df, df.limit(0), ["id"]).count() == 5
+    nested = groups.nested_folds(df, "g", 5, 3, 42).collect()
+    assert len({(r.outer_fold, r.inner_fold) for r in nested if r.g == "g1"}) == 1 and [r.outer_fold for r in nested if r.g is None] == [None]
+    s = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0), ("c", 1), ("d", None)], "s string, y int")
+    assert rows(groups.source_roles(s, "s", "y").select("s", "role")) == {("a", "pooled"), ("b", "challenge"), ("c", "one_class"), ("d", None)}
+    q = audit.before_after(s, ["s"], F.col("y") == 1)
+    assert rows(q) == {("s", "a", 2, 1), ("s", "b", 1, 0), ("s", "c", 1, 1), ("s", "d", 1, 0)}
+    m = spark.createDataFrame([(17, 0.5, "x"), (17, 0.7, "x"), (42, 0.6, "x"), (42, None, "x")], "seed int, v double, c string")
+    r = metrics.dispersion(m, "v", "seed", ["c"]).first()
+    assert (r.runs, r.mean, r.sd_runs, r.sd_seeds) == (3, 0.6, 0.1, 0.0)
+
+
+def test_texts(spark):
+    t = spark.createDataFrame([("Đăng nhập để xác thực tài khoản",), ("One-time code",), (None,), ("ab",)], "t string")
+    got = t.select(text.claims(F.col("t")).alias("c"), text.requests(F.col("t")).alias("r"), text.char_ngrams(F.col("t"), 3).alias("g")).collect()
+    assert [r.c for r in got] == [["sign_in", "verify_account"], [], [], []] and [r.r for r in got] == [False, True, False, False]
+    assert got[1].g[:2] == ["One", "ne-"] and got[2].g == [] == got[3].g

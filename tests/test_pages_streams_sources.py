@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weirmill.functions import html, urls
+from weirmill.__main__ import main
+from weirmill.operators import service
 from weirmill.sources import archive, files
 from weirmill.streaming import navigation
 
@@ -89,10 +91,49 @@ def test_archive(spark, tmp_path):
     assert report["rows"] == 3 and report["unique_domain_field"] == 3 and report["counts"]["source"] == {"s1": 2, "ệ": 1}
     assert report["source_label"] == {"s1|phishing": 1, "s1|benign": 1, "ệ|phishing": 1} and report["phishing_scenario"] == {"bank": 2}
     assert report["csv_hash_in_manifest"] and report["archive_html_files"] == 1 and report["archive_sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
-    text = archive.write_report(report, str(tmp_path / "r.json"))
+    text = archive.write_report(spark, report, str(tmp_path / "r.json"))
     assert "ệ" in text and json.loads(text) == report and not text.endswith("\n")
 
 
+def test_command_line(spark, tmp_path, capsys):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("data/dataset_url.csv", "label,source,tier,scenario,split,lang,domain\nphishing,s,gold,bank,train,vi,a.test\n")
+        z.writestr("MANIFEST.txt", "none")
+    main(["audit", str(path), "v1", str(tmp_path / "report.json")], spark)
+    assert json.loads(capsys.readouterr().out)["rows"] == 1 and json.loads((tmp_path / "report.json").read_text())["version"] == "v1"
+    main(["query", "audit_distinct", "/root/testdata/sf0.001", str(tmp_path / "q")], spark)
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 1
+
+
+def test_run_folder_and_documents(spark, tmp_path, rows):
+    p = spark.createDataFrame([(1, 0.5)], "id int, score double")
+    files.write_run(str(tmp_path / "run"), p, notes="first", metrics={"recall": 0.5}, manifest={"đ": "x"})
+    assert json.loads((tmp_path / "run/manifest.json").read_text()) == {"đ": "x"} and (tmp_path / "run/notes.md").read_text() == "first" and (tmp_path / "run/predictions.jsonl").is_dir()
+    try:
+        files.write_run(str(tmp_path / "run"), p)
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        assert "already exists" in str(e) or "ALREADY_EXISTS" in str(e)
+    (tmp_path / "s.json").write_text('{"sources": [{"source_id": "a", "sha256": "h", "more": 1}, {"source_id": "b"}], "x": {"folds": 5, "seeds": [17, 42]}}')
+    assert rows(files.source_manifest(spark, str(tmp_path / "s.json")).select("source_id", "sha256")) == {("a", "h"), ("b", None)}
+    assert files.settings(spark, str(tmp_path / "s.json"), "x struct<folds int, seeds array<int>>") == {"x": {"folds": 5, "seeds": [17, 42]}}
+    assert rows(files.unnested(files.json_document(spark, str(tmp_path / "s.json")), "sources", "source_id")) == {(0, "a"), (1, "b")}
+
+
+def test_snapshot_features_know_no_labels(spark):
+    dic = spark.createDataFrame([("O1", "Sao Khuê", ["SKB"], None), ("O2", "Micro", None, None)], "org_id string, display_name string, aliases array<string>, service_names array<string>")
+    psl = spark.createDataFrame([("test", "rule")], "suffix string, kind string")
+    page = '<title>SKB</title><h1>SKB sign in</h1><p>Micro: nhập mật khẩu</p><form><input type="password"></form><a href="https://b.test/">x</a><a href="/y">y</a>'
+    df = spark.createDataFrame([("1", "https://a.test/x", page, "phish"), ("2", "https://a.test/", None, "benign"), ("3", None, "<p></p>", None)], "snapshot_id string, url string, html string, label string")
+    got = {r.snapshot_id: r for r in service.extract(df, dic, psl).collect()}
+    assert (got["1"].org_id, got["1"].zones, got["1"].asks, got["1"].claims, got["1"].link_foreign_share) == ("O1", ["heading", "main", "title"], True, ["sign_in"], 0.5)
+    assert got["2"].asks is None and got["3"].asks is None and got["3"].host is None and got["2"].org_id is None
+    flipped = service.extract(df.withColumn("label", F.lit("benign")).withColumn("org_id", F.lit("O9")), dic, psl)
+    assert {r.snapshot_id: r for r in flipped.collect()} == got
+    assert json.loads(service.health(True))["model_ready"] is True and service.model(None) is None
+
+
 def test_files(spark, tmp_path, rows):
     (tmp_path / "d.json").write_text('{"message": {"parts": [[2024, 1]], "n": [], "ok": true}}')
     assert files.json_document(spark, str(tmp_path / "d.json")).select("message.parts", "message.ok").first() == ([[2024, 1]], True)
@@ -113,14 +154,9 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     df = spark.createDataFrame(data, "navigation_id long, dom_revision long, phase int, t string").select("navigation_id", "dom_revision", "phase", F.to_timestamp("t").alias("ts"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = {}
-
-    def keep(batch, _):
-        for r in batch.collect():
-            seen[r.navigation_id] = (r.dom_revision, r.phase, r.ts, r.received)
-
-    q = navigation.latest_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination(120)
-    assert {k: v for k, v in seen.items()} == {r.navigation_id: (r.dom_revision, r.phase, r.ts, r.received) for r in navigation.latest(df).collect()}
+    q = navigation.latest_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+    q.foreachBatch(lambda batch, n: batch.write.parquet(str(tmp_path / f"out/batch={n}"))).start().awaitTermination(120)
+    updates = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert rows(navigation.merge_updates(updates)) == rows(navigation.latest(df)) and updates.count() >= 5
     late = navigation.stale_discard(df.filter("navigation_id = 0")).filter("stale").count()
     assert late > 0 and navigation.debounce(df.filter("navigation_id = 0"), "navigation_id", "ts", F.lit(100)).count() == 1

@@ -36,6 +36,29 @@ def blank_pieces(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit("[^" + BLANK_CLASS[1:-1] + "]+")), F.lit(0)).cast("long")
 
 
+def char_ngrams(c: Column, n: int) -> Column:
+    """All runs of ``n`` characters, in order; none of a shorter or null text."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+# Phrases by which a page claims to be official or asks to sign in.
+CLAIMS = {
+    "sign_in": "đăng nhập|sign in|log in", "verify_account": "xác (?:minh|thực) tài khoản|verify (?:your |the )?account", "official": "cổng thông tin chính thức|trang chính thức|official (?:portal|site|page)",
+}
+# What a page asks for when it asks for what must not be given away.
+REQUESTS = "mật khẩu|mã otp|mã xác thực|số thẻ|căn cước|password|passcode|one-time code|\\botp\\b|card number|identity number"
+
+
+def claims(c: Column) -> Column:
+    """Names of the claim phrases a text holds, in the order of ``CLAIMS``; none of a null text."""
+    return F.array_compact(F.array(*(F.when(F.lower(c).rlike(p), F.lit(k)) for k, p in CLAIMS.items())))
+
+
+def requests(c: Column) -> Column:
+    """Whether a text asks for a password, a code or an identity; false for a null text."""
+    return F.coalesce(F.lower(c).rlike(REQUESTS), F.lit(False))
+
+
 class _Letters(dict):
     """Code point to the plain letters it stands for, filled by rule as characters are met. Signs keep their form: the
     letters of a trade mark sign are no part of the word before it."""

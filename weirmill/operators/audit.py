@@ -68,6 +68,43 @@ def quality_cube(df: DataFrame, dims: list[str], **tests: Column) -> DataFrame:
     return got.select(level.alias("level"), *dims, "rows", *tests)
 
 
+def before_after(df: DataFrame, dims: list[str], kept: Column) -> DataFrame:
+    """``(dim, value, before, after)``: rows of every value of each dimension, all and those kept, in one scan. A null test
+    keeps nothing."""
+    keyed = df.select(*(F.col(d).cast("string").alias(d) for d in dims), F.coalesce(kept, F.lit(False)).alias("__kept"))
+    cells = keyed.groupingSets([[d] for d in dims], *dims).agg(F.count("*").alias("before"), F.count_if("__kept").alias("after"), *(F.grouping(d).alias(f"__{d}") for d in dims))
+    dim = F.coalesce(*(F.when(F.col(f"__{d}") == 0, F.lit(d)) for d in dims))
+    value = F.coalesce(*(F.when(F.col(f"__{d}") == 0, F.col(d)) for d in dims))
+    return cells.select(dim.alias("dim"), value.alias("value"), "before", "after")
+
+
+def strata_with_problems(df: DataFrame, strata: list[str], problem: Column, enlarge_above: float, drop_above: float) -> DataFrame:
+    """``(strata ..., rows, problems, action)``: a stratum is dropped or enlarged where the share of rows with a problem is
+    above the given shares, else kept. A null test is no problem."""
+    per = df.groupBy(*strata).agg(F.count("*").alias("rows"), F.count_if(problem).alias("problems"))
+    share = F.col("problems") / F.col("rows")
+    return per.withColumn("action", F.when(share > drop_above, "drop").when(share > enlarge_above, "enlarge").otherwise("keep"))
+
+
+def enough(phishing: Column, domains: Column, least_phishing: int = 150, least_domains: int = 50) -> Column:
+    """Whether a branch is large enough for more than description."""
+    return (phishing >= least_phishing) & (domains >= least_domains)
+
+
+def first_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the order of ``keys``: a bounded top-k, no sort of the table."""
+    return df.orderBy(*keys).limit(n)
+
+
+def manifest(inputs: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """``(name, rows, sha256)``: a digest of each input of a run over the given columns."""
+    got = None
+    for name, (df, keys) in inputs.items():
+        one = digest(df, keys).select(F.lit(name).alias("name"), "rows", "sha256")
+        got = one if got is None else got.unionByName(one)
+    return got
+
+
 def digest(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows and an order-free digest of the content: the sum and the exclusive or of 60-bit parts of each row's
     SHA-256 over its columns in the order of ``keys``, then the SHA-256 of these. Needs no sort of the table."""

@@ -25,8 +25,8 @@ PHASES, MODES = ["url_only", "url_content"], ["rendered_dom", "stored_html"]
 class _Body:
     """A JSON object in text, read through one variant."""
 
-    def __init__(self, text: Column) -> None:
-        self.text, self.value = text, F.try_parse_json(text)
+    def __init__(self, text: Column, value: Column | None = None) -> None:
+        self.text, self.value = text, F.try_parse_json(text) if value is None else value
 
     def kind(self, key: str) -> Column:
         """``string``, ``number``, ``boolean``, ``object``, ``array`` or ``void``; null if the key is missing."""
@@ -56,6 +56,12 @@ class _Body:
         return F.get_json_object(self.text, f"$.{key}")
 
 
+def _parsed(text: Column, check) -> Column:
+    """``check`` of the object in ``text``, which is parsed once however often it is looked into."""
+    one = F.array(F.struct(text.alias("text"), F.try_parse_json(text).alias("value")))
+    return F.element_at(F.transform(one, lambda b: check(_Body(b["text"], b["value"]))), 1)
+
+
 def _not(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
@@ -66,12 +72,15 @@ def _whole(n: Column) -> Column:
 
 def request_error(body: Column) -> Column:
     """``body_too_large`` (bytes, before anything is parsed), ``bad_json``, ``unknown_key`` or the first bad field."""
-    b = _Body(F.when(F.octet_length(body) <= MAX_BODY, body))
+    fits = F.when(F.octet_length(body) <= MAX_BODY, body)
+    return F.when(F.octet_length(body) > MAX_BODY, "body_too_large").otherwise(_parsed(fits, _request_error))
+
+
+def _request_error(b: _Body) -> Column:
     text, html = b.string, b.string("html")
     content = text("phase") == "url_content"
     return (
-        F.when(F.octet_length(body) > MAX_BODY, "body_too_large")
-        .when(b.bad(), "bad_json")
+        F.when(b.bad(), "bad_json")
         .when(b.unknown([*COMMON, "html"]), "unknown_key")
         .when(_not(text("request_id").rlike(UUID)), "request_id")
         .when(_not(text("navigation_id").rlike(UUID)), "navigation_id")
@@ -101,7 +110,10 @@ def _signal_bad(text: Column) -> Column:
 def response_error(body: Column) -> Column:
     """A completed response has a score and a threshold in [0, 1] and the verdict they give; one of insufficient content has
     neither and says it is unable to assess."""
-    b = _Body(body)
+    return _parsed(body, _response_error)
+
+
+def _response_error(b: _Body) -> Column:
     model, timing = _Body(b.part("model")), _Body(b.part("timing_ms"))
     score, limit = b.number("score"), b.number("threshold")
     done = b.string("status") == "completed"

@@ -60,8 +60,9 @@ def near_duplicates(df: DataFrame, ident: str, text: str, threshold: float = THR
     """
     t = df.filter(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("h")).agg(F.min(ident).cast("long").alias("id"), F.first(text).alias("text"))
     t = write_table(t.select("id", "text").mapInPandas(_signatures, "id long, s array<long>, bands array<long>"), "signatures")
-    keys = t.select("id", F.posexplode("bands").alias("b", "k"))
-    pairs = keys.withColumnRenamed("id", "id_a").join(keys.withColumnRenamed("id", "id_b"), ["b", "k"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
+    keys = t.select("id", F.size("s").alias("n"), F.posexplode("bands").alias("b", "k"))
+    met = keys.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "b", "k").join(keys.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), "b", "k"), ["b", "k"])
+    pairs = met.filter((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("id_a", "id_b").distinct()  # sizes too far apart can't be similar
     sets = pairs.join(t.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
     both = F.size(F.array_intersect("sa", "sb"))
     return sets.select("id_a", "id_b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
@@ -86,6 +87,40 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     raise RuntimeError(f"groups still change after {max_rounds} rounds")
 
 
+def without(df: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share none of the ``keys`` (id, hash, group ...) with any row of ``registry``: an anti join a key. Null keys
+    exclude nothing."""
+    for k in keys:
+        df = df.join(registry.select(F.col(k).alias("__k")).filter("__k is not null").distinct(), F.col(k) == F.col("__k"), "left_anti")
+    return df
+
+
+def in_several(df: DataFrame, key: str, source: str, ident: str) -> DataFrame:
+    """``(key, sources, rows)`` of the keys, as a content hash, found under two sources or more. Counted on the map side."""
+    per = df.filter(F.col(key).isNotNull()).groupBy(key, source).agg(F.count(ident).alias("rows"))
+    return per.groupBy(key).agg(F.count(source).alias("sources"), F.sum("rows").alias("rows")).filter("sources > 1")
+
+
+def source_roles(df: DataFrame, source: str, label: str) -> DataFrame:
+    """``(source, n_pos, n_neg, role)``: a source of benign rows only is a challenge set of its own (``challenge``), one with
+    both classes is pooled, one of phishing only can't be (``one_class``). ``label`` is 1, 0 or null."""
+    per = df.groupBy(source).agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
+    return per.withColumn("role", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), "pooled").when(F.col("n_neg") > 0, "challenge").when(F.col("n_pos") > 0, "one_class"))
+
+
+def sources_of_all_folds(df: DataFrame, source: str, fold: str, label: str, k: int) -> DataFrame:
+    """``(source)`` of the sources with rows of both classes in each of the ``k`` folds."""
+    per = df.groupBy(source, fold).agg(F.max(F.col(label) == 1).alias("p"), F.max(F.col(label) == 0).alias("n"))
+    return per.groupBy(source).agg(F.count_if(F.col("p") & F.col("n")).alias("whole")).filter(F.col("whole") == k).select(source)
+
+
+def nested_folds(df: DataFrame, group: str, outer: int, inner: int, seed: int) -> DataFrame:
+    """Add ``outer_fold`` and ``inner_fold`` of the row's group: two levels of one seeded hash, so that whoever holds out an
+    outer fold splits the rest by groups again. Null groups have neither."""
+    level = lambda name, k: F.when(F.col(group).isNotNull(), (hash32(F.lit(f"{name}{seed}"), group) % k).cast("int"))
+    return df.withColumns({"outer_fold": level("outer", outer), "inner_fold": level("inner", inner)})
+
+
 def folds(df: DataFrame, group: str, label: Column, k: int, seeds: list[int]) -> DataFrame:
     """``(group_id, seed, fold, n, n_pos)``: groups dealt to folds in a seeded order, those with a positive row and those
     without apart, so that classes stay even. With fewer groups than folds of a kind some folds stay empty."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirmill.functions.text import spelled
+from weirmill.operators.ordered import carried, ranges
 from weirmill.session import checked_broadcast
 
 #: Characters that read as another within names.
@@ -100,14 +102,44 @@ def boundary_matches(hosts: DataFrame, host: str, rules: DataFrame) -> DataFrame
     return got.groupBy("host").agg(F.max(F.struct("k", "suffix", "role", "org_id")).alias("m")).select("host", F.col("m.suffix").alias("rule_host"), "m.role", "m.org_id")
 
 
+def scope_matches(urls: DataFrame, host: str, path: str, rules: DataFrame) -> DataFrame:
+    """``(host, path, rule_host, path_prefix, role, org_id)``: the rule with the longest host, then the longest path, that
+    covers a page. ``rules(org_id, hostname, path_prefix, role)``; a prefix ends at a path segment, null covers every path."""
+    u = urls.select(F.col(host).alias("host"), F.coalesce(path, F.lit("/")).alias("path")).filter("host is not null").distinct()
+    s = u.select("host", "path", F.inline(suffixes(F.col("host"))))
+    r = rules.select(F.lower("hostname").alias("suffix"), F.rtrim(F.coalesce("path_prefix", F.lit("")), F.lit("/")).alias("path_prefix"), "org_id", "role")
+    got = s.join(checked_broadcast(r), "suffix").filter((F.col("path_prefix") == "") | (F.col("path") == F.col("path_prefix")) | F.col("path").startswith(F.concat("path_prefix", F.lit("/"))))
+    best = got.groupBy("host", "path").agg(F.max(F.struct("k", F.length("path_prefix").alias("n"), "suffix", "path_prefix", "role", "org_id")).alias("m"))
+    return best.select("host", "path", F.col("m.suffix").alias("rule_host"), "m.path_prefix", "m.role", "m.org_id")
+
+
+def relation(org: Column, role: Column, rule_org: Column) -> Column:
+    """The relation of a page's host with the organisation it names, given the longest rule that covers the host: shared
+    hosting goes before everything else, a host of another organisation is a mismatch, no rule says nothing."""
+    own = F.coalesce(org == rule_org, F.lit(False))
+    first, other = role.startswith("first_party"), role == "authorized_service"
+    return (
+        F.when(org.isNull(), "not_applicable").when(role == "user_content_hosting", "unverified_shared_hosting")
+        .when(own & first, "verified_first_party").when(own & other, "verified_authorized")
+        .when(~own & (first | other), "mismatch").otherwise("unverified")
+    )
+
+
+def names_in_url(urls: DataFrame, ident: str, url: str, dictionary: DataFrame) -> DataFrame:
+    """``(id, org_id)`` of the organisations one of whose one-word names is a token of the address (runs of letters and digits)."""
+    one = names(dictionary).filter("n_words = 1").select("org_id", F.col("alias").alias("token")).distinct()
+    t = urls.filter(F.col(url).isNotNull()).select(F.col(ident).alias("id"), F.explode(F.array_distinct(F.split(F.lower(url), "[^\\p{L}\\p{N}]+"))).alias("token"))
+    return t.join(checked_broadcast(one), "token").select("id", "org_id").distinct()
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
     """Add the ``value`` of the latest row of ``right`` with the key at or before ``left_time``; null where there is none.
-    Both sides are merged in time within the key by one window, no range join; times of a side may repeat (the greatest
-    value of the latest time is taken)."""
+    Both sides are merged in time within ranges of the key, no range join, and the latest value is carried over from range to
+    range. Times of a side may repeat (the greatest value of the latest time is taken); null values and times are passed over."""
     l_ = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v"), F.struct(*left.columns).alias("__row"))
-    r_ = right.groupBy(F.col(key).alias("__k"), F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
+    r_ = right.filter(F.col(right_time).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
     r_ = r_.select("__k", "__t", F.lit(0).alias("__side"), "__v", F.lit(None).cast(l_.schema["__row"].dataType).alias("__row"))
-    from pyspark.sql import Window as W
-
-    seen = F.last("__v", ignorenulls=True).over(W.partitionBy("__k").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0))
-    return l_.unionByName(r_).withColumn(out, seen).filter("__side = 1").select("__row.*", out)
+    both = carried(ranges(l_.unionByName(r_), "__t"), ["__k"], F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
+    seen = F.last("__v", ignorenulls=True).over(W.partitionBy("__k", "__p").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0))
+    got = both.withColumn(out, F.when(F.col("__t").isNotNull(), F.coalesce(seen, F.col("__carry.__v"))))
+    return got.filter("__side = 1").select("__row.*", out)

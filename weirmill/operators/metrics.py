@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmill.operators.contract import verdict
 from weirmill.operators.ordered import running
 from weirmill.session import write_table
 
@@ -107,6 +108,28 @@ def bootstrap(scored: DataFrame, group: str, configs: dict[str, float], reps: in
     )
 
 
+def dispersion(per_run: DataFrame, value: str, seed: str, by: list[str]) -> DataFrame:
+    """``(by ..., runs, mean, sd_runs, sd_seeds)``: spread of a metric over all runs, and over the means of the seeds, which are
+    repetitions and not more data. Null values take no part."""
+    per = per_run.filter(F.col(value).isNotNull()).groupBy(*by, seed).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    got = per.groupBy(*by).agg(F.sum("n").alias("runs"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.stddev_samp(F.col("s") / F.col("n")).alias("sd_seeds"))
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("runs")) / F.nullif(F.col("runs") - 1, F.lit(0))
+    return got.select(*by, "runs", F.round(F.col("s") / F.col("runs"), 9).alias("mean"), F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 6).alias("sd_runs"), F.round("sd_seeds", 6).alias("sd_seeds"))
+
+
+def effort(df: DataFrame, seconds: str, by: list[str], limit: float, planned: int, reduced: int) -> DataFrame:
+    """``(by ..., timed, mean_seconds, total_hours, target)``: time spent a page, and the size of the sample by the rule that a
+    mean above ``limit`` seconds reduces it. Untimed rows take no part; without any the target stays as planned."""
+    got = df.groupBy(*by).agg(F.count(seconds).alias("timed"), F.avg(seconds).alias("m"), F.sum(seconds).alias("s"))
+    return got.select(*by, "timed", F.round("m", 6).alias("mean_seconds"), F.round(F.col("s") / 3600, 6).alias("total_hours"), F.when(F.col("m") > limit, reduced).otherwise(planned).alias("target"))
+
+
+def verdict_counts(scored: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """``(by ..., warning, no_indication, unable_to_assess)``: rows without a score are unable, never a true negative."""
+    v = verdict(F.col("score"), F.lit(threshold))
+    return scored.groupBy(*by).agg(*(F.count_if(v == x).alias(x) for x in ("warning", "no_indication", "unable_to_assess")))
+
+
 def kappa(passes: DataFrame, a: str, b: str) -> DataFrame:
     """One row: observed and expected agreement and Cohen's kappa of two raters; null where all agree by necessity."""
     cells = passes.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count("*").alias("n"))

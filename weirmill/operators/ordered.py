@@ -11,6 +11,29 @@ from weirmill.session import write_table
 RANGES = 64
 
 
+def ranges(df: DataFrame, order: str) -> DataFrame:
+    """Add ``__p``: the number of the range, cut at approximate quantiles of ``order``, a row falls in, nulls in the first.
+    Equal values fall in one range. ``df`` is read twice."""
+    at = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith(("timestamp", "date")) else F.col(order)
+    cuts = df.agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).first()["c"] or []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + F.coalesce(at > F.lit(c), F.lit(False)).cast("int")
+    return df.withColumn("__p", part)
+
+
+def carried(df: DataFrame, key: list[str], whole: Column, over: str = "before") -> DataFrame:
+    """Of rows with a range ``__p``: add ``__carry``, the greatest ``whole`` of the key's ranges before (or the least of those
+    ``after``) the row's own. What is carried comes from a table with at most ``RANGES`` rows a key, so that the rows of a key
+    that holds a tenth of all are spread over its ranges."""
+    f, frame = (F.max, (W.unboundedPreceding, -1)) if over == "before" else (F.min, (1, W.unboundedFollowing))
+    per = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__p").alias("__q")).agg(f(whole).alias("__w"))
+    line = W.partitionBy(*(f"__k{i}" for i in range(len(key)))).orderBy("__q").rowsBetween(*frame)
+    per = per.withColumn("__carry", f("__w").over(line)).drop("__w")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    return df.join(per, [F.col("__p") == F.col("__q"), *same], "left").select(*df.columns, "__carry")
+
+
 def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: bool = False, ties: Column | None = None) -> DataFrame:
     """Add, under each name, the sum of the column over this row and all before it in ``order``; equal orders follow
     ``ties``. Rows are cut into ranges at approximate quantiles; a window runs within each range, and the sums of the

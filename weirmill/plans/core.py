@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirmill.functions import html, urls
 from weirmill.functions.hosts import host, with_registrable
-from weirmill.functions.text import category
+from weirmill.functions.text import CLAIMS, REQUESTS, category, claims, requests
 from weirmill.functions.text import label as label_of
 from weirmill.operators import audit, contract, groups, matching, metrics, models
 from weirmill.plans.sql import URLS
@@ -15,8 +15,10 @@ from weirmill.plans.sql import category as category_sql
 from weirmill.plans.sql import host as host_sql
 from weirmill.plans.sql import label as label_sql
 from weirmill.plans.tables import table, url_records
+from weirmill.session import scratch_path, write_table
 from weirmill.streaming import navigation
 
+CLAIMS_ANY = "|".join(CLAIMS.values())
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 DIMS = ["label", "source", "tier", "scenario", "split", "lang"]
@@ -65,7 +67,10 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query()
+_DIGEST = "sha256(concat_ws(chr(31), " + ", ".join(f"coalesce(cast({c} as varchar), chr(0))" for c in ["record_id", *DIMS, "domain"]) + "))"
+
+
+@query(f"""with p as (select ('0x' || substr({_DIGEST}, 1, 15))::bigint as p from url_audit), g as (select count(*) as rows, coalesce(sum(p), 0)::hugeint as s, coalesce(bit_xor(p), 0) as x from p) select rows, sha256(concat_ws('|', rows, s, x)) as sha256 from g""")
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
     return audit.digest(table(spark, d, "url_audit"), ["record_id", *DIMS, "domain"])
 
@@ -128,7 +133,15 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return c.select("sha256", urls.status(F.col("url")).alias("url_status"), urls.normalize(F.col("url")).alias("url"))
 
 
-@query()
+_NORMAL = """c as (select sha256, trim(url) as u from corpus), s as (select sha256, u, case when u is null or u = '' or length(u) > 8192 then null when regexp_full_match(u, '(?i)https?://[^\\s/?#]+[^\\s]*') then u
+when regexp_full_match(u, '[0-9A-Za-z_-]+(\\.[0-9A-Za-z_-]+)+([/?#:][^\\s]*)?') then 'http://' || u end as r from c), x as (select sha256, u, regexp_replace(regexp_replace(r, '#.*$', ''), '^([A-Za-z]+://)[^/?#]*@', '\\1') as r from s),
+n as (select sha256, u, lower(regexp_extract(r, '^[A-Za-z]+://[^/?]*')) || regexp_extract(r, '^[A-Za-z]+://[^/?]*([^?]*)', 1) || case when regexp_extract(r, '\\?(.*)$', 1) = '' then '' else '?' || regexp_replace(regexp_extract(r, '\\?(.*)$', 1), '=[^&]*', '=*', 'g') end as n from x),
+p as (select *, nullif(regexp_replace(regexp_extract(n, '^[a-z]+://([^/?:]*)', 1), '\\.$', ''), '') as host, regexp_extract(n, '^[a-z]+://[^/?]*([^?]*)', 1) as path, regexp_extract(n, '\\?(.*)$', 1) as q from n)"""
+
+
+@query(f"""with {_NORMAL} select sha256, lower(regexp_extract(n, '^([A-Za-z]+)://', 1)) as scheme, host, case when n is not null then path end as path, case when n is not null then array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(q, '&'), lambda v: regexp_extract(v, '^([^=]*)', 1)), lambda v: v <> ''))), ',') end as param_names,
+length(n) as url_chars, length(host) as host_chars, len(string_split(host, '.')) as host_labels, len(regexp_extract_all(n, '[0-9]')) as digits, len(regexp_extract_all(host, '-')) as hyphens, len(regexp_extract_all(case when n is not null then path end, '/[^/]')) as path_depth, len(regexp_extract_all(n, '=\\*')) as parameters,
+regexp_matches(u, '^[A-Za-z]+://[^/?#]*@') as has_user, regexp_full_match(host, '[0-9]+(\\.[0-9]+){{3}}') as is_ip from p""")
 def url_lexical(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
     return table(spark, d, "corpus").select("sha256", urls.scheme(u).alias("scheme"), urls.host_of(u).alias("host"), urls.path(u).alias("path"), urls.param_names(u).alias("param_names"), *(c.alias(n) for n, c in urls.lexical(u).items()))
@@ -149,23 +162,13 @@ def registrable_domain(spark: SparkSession, d: str) -> DataFrame:
     return with_registrable(url_records(spark, d).select("host").filter("host is not null").distinct(), "host", table(spark, d, "psl"))
 
 
-RULES = [
-    ("ORG01", "rutgonlink.test", "user_content_hosting"),
-    ("ORG02", "hopthu-chung.example", "first_party_identity"),
-    ("ORG02", "bieumau.hopthu-chung.example", "user_content_hosting"),
-    ("ORG03", "sangiaodich.com.test", "first_party_content"),
-    ("ORG04", "khoanhtay.net.test", "authorized_service"),
-]
-_RULES = "(values " + ", ".join(f"('{o}', '{h}', '{r}')" for o, h, r in RULES) + ") as q(org_id, hostname, role)"
-
-
-@query(f"""with {URLS}, h as (select distinct host from u where host is not null), m as (select host, hostname, org_id, role, row_number() over (partition by host order by length(hostname) desc) as r from h join {_RULES} on host = hostname or ends_with(host, '.' || hostname))
-select host, hostname as rule_host, role, org_id, case role when 'user_content_hosting' then 'unverified_shared_hosting' when 'authorized_service' then 'verified_authorized' else 'verified_first_party' end as domain_relation from m where r = 1""")
+@query(f"""with {URLS}, h as (select distinct host from u where host is not null), q as (select distinct lower(suffix) as suffix, case when section = 'private' then 'user_content_hosting' else 'registry' end as role from psl where kind <> 'exception'),
+m as (select host, suffix, role, row_number() over (partition by host order by length(suffix) desc, role desc) as i from h join q on host = suffix or ends_with(host, '.' || suffix)) select host, suffix as rule_host, role from m where i = 1""")
 def boundary_match(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "org_id string, hostname string, role string")
-    m = matching.boundary_matches(url_records(spark, d).select("host"), "host", rules)
-    relation = F.when(F.col("role") == "user_content_hosting", "unverified_shared_hosting").when(F.col("role") == "authorized_service", "verified_authorized").otherwise("verified_first_party")
-    return m.withColumn("domain_relation", relation)
+    """The longest listed suffix of every host at a label boundary, and who gives out names below it."""
+    role = F.when(F.col("section") == "private", "user_content_hosting").otherwise("registry")
+    rules = table(spark, d, "psl").filter("kind <> 'exception'").select(F.lower("suffix").alias("hostname"), role.alias("role"), F.lit(None).cast("string").alias("org_id")).distinct()
+    return matching.boundary_matches(url_records(spark, d).select("host"), "host", rules).drop("org_id")
 
 
 # Pages
@@ -178,12 +181,18 @@ def page_patterns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus").select("sha256", *(c.alias(n) for n, c in html.pattern_profile(F.col("html")).items()))
 
 
-@query("""with c as (select distinct sha256, html from corpus where html is not null) select sha256, length(html) as html_chars, len(regexp_extract_all(html, '(?i)<form[ >]')) as forms, len(regexp_extract_all(html, '(?i)<input[ >]')) as inputs, len(regexp_extract_all(html, '(?i)<input[^>]*type="password"')) as password_inputs from c where ends_with(html, '</html>')""")
+def _tags(name: str, more: str = "") -> str:
+    return f"coalesce(len(regexp_extract_all(b, '(?i)<{name}(?:\\s[^>]*)?{more}>')), 0)"
+
+
+@query(f"""with c as (select sha256, html, regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<(script|style)[^>]*>.*?(?:</(script|style)>|$)', ' ', 'g') as b from (select distinct sha256, html from corpus))
+select sha256, length(html) as html_chars, {_tags('form')} as forms, {_tags('input')} as inputs, coalesce(len(regexp_extract_all(b, '(?i)<input\\s[^>]*type="password"[^>]*>')), 0) as password_inputs, {_tags('iframe')} as iframes,
+coalesce(len(regexp_extract_all(b, '(?i)<a\\s[^>]*href=[^>]*>')), 0) as links from c""")
 def page_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Parser counts of the distinct pages that end whole, the part patterns in SQL can check; ``page_parsed`` is the whole."""
-    c = table(spark, d, "corpus").filter(F.col("html").endswith("</html>")).select("sha256", "html").distinct()
+    """Parser counts of every distinct page, null and truncated ones too: what patterns in SQL can check of ``page_parsed``."""
+    c = table(spark, d, "corpus").select("sha256", "html").distinct()
     p = c.withColumn("p", html.profile(F.col("html")))
-    return p.select("sha256", F.length("html").alias("html_chars"), "p.forms", "p.inputs", "p.password_inputs")
+    return p.select("sha256", F.length("html").alias("html_chars"), "p.forms", "p.inputs", "p.password_inputs", "p.iframes", F.size("p.links").alias("links"))
 
 
 @query()
@@ -193,16 +202,28 @@ def page_parsed(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("p", html.profile(F.col("html"))).select("sha256", F.length("html").alias("html_chars"), "p.*")
 
 
+_ENDS = [f"{kind}_{where}" for kind in ("action", "link") for where in ("own", "related", "foreign")]
+
+
+def _ends(field: str):
+    """Addresses of a page as ``(kind, to)``."""
+    return F.transform(field, lambda a: F.struct(F.lit(field.rstrip("s")).alias("kind"), a.alias("to")))
+
+
 @query()
 def page_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Forms with a password and where they send: own, related or foreign host."""
-    c = table(spark, d, "corpus").select("sha256", urls.host_of(F.col("url")).alias("host"), "html").distinct()
-    p = c.withColumn("p", html.profile(F.col("html"))).select("sha256", "host", "p.*")
-    to = F.filter(F.transform("actions", lambda a: F.regexp_extract(F.lower(a), "^(?:https?:)?//([^/?#:]*)", 1)), lambda h: h != "")
-    return p.select(
-        "sha256", "host", (F.col("password_inputs") > 0).alias("sensitive_form"), F.exists(to, lambda h: h != F.col("host")).alias("foreign_destination"),
-        F.lower("text").rlike("mật khẩu|mã xác thực|password|one-time code|otp").alias("request_phrase"), F.size("links").alias("links"),
-    )
+    """Whether a page asks for a password or a code, and where its forms and links lead: the page's own host, a related one of
+    the same registrable domain, or a foreign one. Addresses without a host are the page's own."""
+    psl = table(spark, d, "psl")
+    c = table(spark, d, "corpus").select("sha256", "url", "html").distinct().withColumn("host", host(F.col("url")))
+    p = with_registrable(c.withColumn("p", html.profile(F.col("html"))).select("sha256", "url", "host", "p.*"), "host", psl)
+    p = write_table(p.withColumn("page", F.xxhash64("sha256", "url")), "parsed_pages")
+    ends = p.select("page", "host", "registrable", F.inline(F.concat(_ends("actions"), _ends("links"))))
+    ends = with_registrable(ends.select("page", "kind", F.col("host").alias("own"), F.col("registrable").alias("own_domain"), F.when(F.col("to").rlike("^(?i)(https?:)?//"), host(F.col("to"))).alias("to_host")), "to_host", psl, "to_domain")
+    where = F.when(F.col("to_host").isNull() | (F.col("to_host") == F.col("own")), "own").when(F.col("to_domain") == F.col("own_domain"), "related").otherwise("foreign")
+    per = ends.select("page", F.concat("kind", F.lit("_"), where).alias("k")).groupBy("page").agg(*(F.count_if(F.col("k") == k).alias(k) for k in _ENDS))
+    got = p.join(per, "page", "left")
+    return got.select("sha256", "host", (F.col("password_inputs") > 0).alias("sensitive_form"), requests(F.col("text")).alias("request_phrase"), *(F.coalesce(k, F.lit(0)).alias(k) for k in _ENDS))
 
 
 @query()
@@ -258,12 +279,18 @@ def exact_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_NEAR = """t as (select min(doc_id) as id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents where text is not null group by text, w), s as (select distinct id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as g from t where len(w) > 0),
+n as (select id, count(*) as n from s group by id), c as (select a.id as id_a, b.id as id_b, count(*) as m from s a join s b on a.g = b.g and a.id < b.id group by all),
+near as (select id_a, id_b, round(m / (x.n + y.n - m), 9) as jaccard from c join n x on x.id = id_a join n y on y.id = id_b where m / (x.n + y.n - m) >= 0.8)"""
+
+
+@query(f"with {_NEAR} select * from near")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return groups.near_duplicates(table(spark, d, "documents"), "doc_id", "text")
+    return groups.near_duplicates(table(spark, d, "documents"), "doc_id", "text").withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+@query(f"""with recursive {_NEAR}, copies as (select doc_id as x, min(doc_id) over (partition by text) as y from documents where text is not null), one as (select id_a as x, id_b as y from near union select x, y from copies),
+links as (select x, y from one union select y, x from one union select doc_id, doc_id from documents), reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x) select x as id, min(y) as group_id from reach group by x""")
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
     copies = groups.exact_duplicates(t, "doc_id", "text").select(F.col("id").alias("id_a"), F.col("class_id").alias("id_b"))
@@ -400,7 +427,11 @@ def top_union_codes(spark: SparkSession, d: str) -> DataFrame:
     return top.select("o_custkey").distinct()
 
 
-# Streams in batch form
+# Streams, and their batch form
+
+_BAD_URL = "url is null or not regexp_full_match(url, 'https?://[^\\s]+') or length(url) > 8192"
+_REQUEST_ERROR = f"case when {_BAD_URL} then 'url' when html is null then 'html_missing' when html = '' then 'html' when length(html) > 1000000 then 'html_too_long' end"
+_REQUEST_STATUS = f"case when {_BAD_URL} or html is null or html = '' or length(html) > 1000000 then 422 else 200 end"
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -411,11 +442,45 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
 _N = "n as (select user_id as navigation_id, event_id as dom_revision, case when event_type = 'view' then 0 else 1 end as phase, ts from events)"
 
 
-@query(f"with {_N}, r as (select *, row_number() over (partition by navigation_id order by dom_revision desc, phase desc, ts desc) as r, count(*) over (partition by navigation_id) as received from n) select navigation_id, dom_revision, phase, ts, received from r where r = 1")
+_LATEST = f"with {_N}, r as (select *, row_number() over (partition by navigation_id order by dom_revision desc, phase desc, ts desc) as r, count(*) over (partition by navigation_id) as received from n) select navigation_id, dom_revision, phase, ts, received from r where r = 1"
+
+
+@query(_LATEST)
 def latest_revision(spark: SparkSession, d: str) -> DataFrame:
     return navigation.latest(_snapshots(spark, d))
 
 
+@query(_LATEST)
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream: the snapshots are put into files by time, read file by file, and the updates merged."""
+    at, rows = scratch_path(spark, "snapshots"), _snapshots(spark, d)
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    updates = navigation.latest_stream(stream, "400 days")  # a replay: files may come in any order
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    updates.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return navigation.merge_updates(spark.read.schema(updates.schema).parquet(f"{at}/out/*"))
+
+
+@query(f"""select {_REQUEST_ERROR} as error, {_REQUEST_STATUS} as status_code, count(*) as requests from (select distinct sha256, url, html from corpus) group by all""")
+def stream_responses(spark: SparkSession, d: str) -> DataFrame:
+    """A response for each of a stream of content requests, one made of every page, by error and status."""
+    at = scratch_path(spark, "requests")
+    table(spark, d, "corpus").select("sha256", "url", "html").distinct().select(request_body().alias("value")).repartition(3).write.text(f"{at}/in")
+    got = navigation.responses(navigation.requests(spark, f"{at}/in"), ["v1"])
+    got.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(got.schema).parquet(f"{at}/out").groupBy("error", "status_code").agg(F.count("*").alias("requests"))
+
+
+@query("""with e as (select event_id, user_id, ts, value * 20 as ms, lead(ts) over (partition by user_id order by ts) as n from events)
+select event_id, case when epoch_us(n) - epoch_us(ts) < least(coalesce(ms, 5000), 5000) * 1000 then 'superseded' when ms is null or ms > 5000 then 'unable_to_assess' else 'answered' end as outcome from e""")
+def client_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.outcomes(table(spark, d, "events"), "user_id", "ts", F.col("value") * 20).select("event_id", "outcome")
+
+
 @query(f"with {_N} select navigation_id, dom_revision, coalesce(max(dom_revision) over (partition by navigation_id order by ts, dom_revision rows between unbounded preceding and 1 preceding) >= dom_revision, false) as stale from n")
 def stale_discard(spark: SparkSession, d: str) -> DataFrame:
     return navigation.stale_discard(_snapshots(spark, d)).select("navigation_id", "dom_revision", "stale")
@@ -434,46 +499,66 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 # Contracts and models
 
 
-@query()
-def request_check(spark: SparkSession, d: str) -> DataFrame:
-    """Requests made of the corpus pages, and the first error of each."""
-    c = table(spark, d, "corpus").select("sha256", "url", "html").distinct()
+def request_body():
+    """A content request of the columns sha256, url and html; nulls stay null in it."""
     uuid = F.regexp_replace(F.substring("sha256", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    body = F.to_json(F.struct(uuid.alias("request_id"), F.col("sha256").alias("navigation_id"), F.lit(1).alias("dom_revision"), F.lit("url_content").alias("phase"), "url", F.lit("v1").alias("preprocessing_version"), F.lit("rendered_dom").alias("capture_mode"), "html"))
-    return c.select("sha256", contract.request_error(body).alias("error"))
+    fields = {"request_id": uuid, "navigation_id": uuid, "dom_revision": F.lit(1), "phase": F.lit("url_content"), "url": F.col("url"), "preprocessing_version": F.lit("v1"), "capture_mode": F.lit("rendered_dom"), "html": F.col("html")}
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"})
+
+
+@query(f"select sha256, {_REQUEST_ERROR} as error, {_REQUEST_STATUS} as status_code from (select distinct sha256, url, html from corpus)")
+def request_check(spark: SparkSession, d: str) -> DataFrame:
+    """The first error of a content request made of every page, and its HTTP status."""
+    c = table(spark, d, "corpus").select("sha256", "url", "html").distinct().select("sha256", contract.request_error(request_body()).alias("error"))
+    return c.withColumn("status_code", contract.status_code(F.col("error")))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document: text, label, fold by host, and signals of the organisations it names, of its domain and of what it asks for."""
     t = table(spark, d, "documents").filter("doc_id is not null")
     h = host(F.col("domain"))
     y = label_of(F.col("label"))
-    return t.select(
+    named = matching.alias_matches(t, "doc_id", "text", table(spark, d, "dictionary")).groupBy(F.col("id").alias("named")).agg(F.count_distinct("org_id").cast("double").alias("orgs"), F.sum("occurrences").cast("double").alias("names"))
+    got = t.select(
         "doc_id", "text", F.when(y == "phishing", 1).when(y == "benign", 0).cast("double").alias("label"), (metrics.hash32(F.lit(17), F.coalesce(h, F.col("doc_id").cast("string"))) % 3).cast("int").alias("fold"),
-        F.coalesce(F.length(h), F.lit(0)).cast("double").alias("host_chars"), F.coalesce(F.regexp_count(h, F.lit("[0-9-]")), F.lit(0)).cast("double").alias("host_marks"),
-    )
+        F.coalesce(F.length(h), F.lit(0)).cast("double").alias("host_chars"), F.coalesce(F.regexp_count(h, F.lit("[0-9-]")), F.lit(0)).cast("double").alias("host_marks"), F.coalesce(F.size(F.split(h, "\\.")), F.lit(0)).cast("double").alias("host_labels"),
+        requests(F.col("text")).cast("double").alias("asks"), F.size(claims(F.col("text"))).cast("double").alias("claims"),
+    ).join(named, F.col("doc_id") == F.col("named"), "left").drop("named")
+    return write_table(got.fillna(0.0, ["orgs", "names"]), "features")
+
+
+SIGNALS = {"org": ["orgs", "names"], "domain": ["host_chars", "host_marks", "host_labels"], "intent": ["asks", "claims"]}
 
 
 @query()
 def lr_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-fold scores of words and host features; folds keep hosts together."""
-    return models.out_of_fold(_features(spark, d), "doc_id", "fold", 3, "text", ["host_chars", "host_marks"])
+    """Out-of-fold scores of words and all signals; folds keep hosts together."""
+    return models.out_of_fold(_features(spark, d), "doc_id", "fold", 3, "text", [x for s in SIGNALS.values() for x in s])
 
 
 @query()
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision of out-of-fold scores with and without the text, on the same folds."""
+    """Average precision of out-of-fold scores of all signals, and with the organisation, the domain and the intent left out in
+    turn, on the same folds of the same documents."""
     f, got = _features(spark, d), None
-    for name, text in (("host", None), ("host_text", "text")):
-        some = metrics.pr_auc(models.out_of_fold(f, "doc_id", "fold", 3, text, ["host_chars", "host_marks"])).select(F.lit(name).alias("config"), "pr_auc")
+    for left_out in (None, *SIGNALS):
+        numbers = [x for s, xs in SIGNALS.items() if s != left_out for x in xs]
+        some = metrics.pr_auc(models.out_of_fold(f, "doc_id", "fold", 3, None, numbers)).select(F.lit(f"without_{left_out}" if left_out else "all").alias("config"), "pr_auc")
         got = some if got is None else got.unionByName(some)
     return got
 
 
-_RULE = f"""with d as (select doc_id, coalesce(regexp_matches(lower(text), 'bank|ngân hàng|tel|post|pay'), false) as a, coalesce({host_sql('domain')} like '%-%', false) as b, coalesce(regexp_matches(lower(text), 'otp|mật khẩu|password|one-time code'), false) as c from documents)
-select doc_id, cast(a and b and c as int) as score from d"""
+@query()
+def latent_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold scores of words reduced to sixteen directions, which are fitted on the training rows of the fold only."""
+    return models.out_of_fold(_features(spark, d), "doc_id", "fold", 3, "text", SIGNALS["domain"], directions=16)
 
 
-@query(_RULE)
+@query(f"""with m as (select doc_id, {host_sql('domain')} as host, {label_sql('label')} as label, text from documents), own as (select distinct host from m where label = 'benign' and host is not null)
+select doc_id, cast(coalesce(regexp_matches(lower(text), '{CLAIMS_ANY}'), false) and host is not null and host not in (select host from own) and coalesce(regexp_matches(lower(text), '{REQUESTS}'), false) as int) as score from m""")
 def b_rule(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", models.rule_score(t.rlike("bank|ngân hàng|tel|post|pay"), F.contains(host(F.col("domain")), F.lit("-")), t.rlike("otp|mật khẩu|password|one-time code")).alias("score"))
+    """The rule baseline: a claim is made, on a host no benign document is on, and something is asked for that must not be given."""
+    t = table(spark, d, "documents").select("doc_id", host(F.col("domain")).alias("host"), label_of(F.col("label")).alias("label"), "text")
+    own = t.filter("label = 'benign' and host is not null").select(F.col("host").alias("own")).distinct()
+    got = t.join(own, F.col("host") == F.col("own"), "left")
+    return got.select("doc_id", models.rule_score(F.size(claims(F.col("text"))) > 0, F.col("host").isNotNull() & F.col("own").isNull(), requests(F.col("text"))).alias("score"))

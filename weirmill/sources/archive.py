@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmill.operators import audit
+from weirmill.session import put_text, write_table
 
 DIMS = ["label", "source", "tier", "scenario", "split", "lang"]
 
@@ -54,38 +55,38 @@ def csv_rows(spark: SparkSession, path: str, member: str, columns: list[str], ba
 
 
 def audit_archive(spark: SparkSession, path: str, version: str, member: str = "data/dataset_url.csv", manifest: str = "MANIFEST.txt") -> dict:
-    """The audit report of one archive."""
-    rows = csv_rows(spark, path, member, [*DIMS, "domain"])
+    """The audit report of one archive. The member is unpacked once into a written table; the driver gets category counts."""
+    rows = write_table(csv_rows(spark, path, member, [*DIMS, "domain"]), "archive")
     counts: dict[str, dict] = {d: {} for d in DIMS}
     for r in audit.value_counts(rows, DIMS).collect():  # one row a category value
         counts[r["dim"]][r["value"]] = r["n"]
     one = audit.distinct_values(rows, "domain").first()
-    inside = {r["member"]: r for r in members(spark, path).collect()}
+    inside = write_table(members(spark, path), "members")
+    held = inside.agg(F.max(F.when(F.col("member") == member, F.col("sha256"))).alias("h"), F.count_if(F.col("member").endswith(".html")).alias("html")).first()
     whole = _archives(spark, path).select(F.sha2("content", 256).alias("h"), "content")
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"t": [zipfile.ZipFile(io.BytesIO(c)).read(manifest).decode() for c in b["content"]]})
 
-    listed = whole.select("content").mapInPandas(text, "t string").filter(F.contains("t", F.lit(inside[member]["sha256"]))).count() > 0
+    listed = whole.select("content").mapInPandas(text, "t string").filter(F.contains("t", F.lit(held["h"]))).count() > 0
     pair = audit.cross_counts(rows, "source", "label").collect()
     return {
         "version": version,
         "archive_sha256": whole.select("h").first()["h"],
-        "csv_sha256": inside[member]["sha256"],
+        "csv_sha256": held["h"],
         "rows": one["rows"],
         "counts": counts,
         "unique_domain_field": one["distinct_values"],
         "source_label": {f"{r['source']}|{r['label']}": r["n"] for r in pair},
         "phishing_scenario": {r["scenario"]: r["n"] for r in audit.filtered_counts(rows, F.col("label") == "phishing", "scenario").collect()},
         "csv_hash_in_manifest": listed,
-        "archive_html_files": sum(m.endswith(".html") for m in inside),
+        "archive_html_files": held["html"],
     }
 
 
-def write_report(report: dict, path: str) -> str:
-    """The report as indented JSON with its characters kept; gives the text."""
+def write_report(spark: SparkSession, report: dict, path: str) -> str:
+    """The report as indented JSON with its characters kept, put where no file is; gives the text."""
     text = json.dumps(report, ensure_ascii=False, indent=2)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    put_text(spark, path, text)
     return text

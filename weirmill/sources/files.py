@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirmill.operators.contract import assert_blind
+from weirmill.session import put_text
 
 FORBIDDEN = {"label", "target", "tier", "split", "source_label", "group_id", "is_https", "collected_at", "sha256"}
 
@@ -55,10 +55,31 @@ def blind_view(df: DataFrame, allow: list[str]) -> DataFrame:
     return df.select(*allow)
 
 
-def write_run(folder: str, predictions: DataFrame, **parts: dict) -> None:
-    """A run folder: predictions as JSON lines written by the executors, small parts as JSON by the driver."""
-    predictions.write.mode("overwrite").json(f"{folder}/predictions.jsonl")
-    os.makedirs(folder, exist_ok=True)
+def write_run(folder: str, predictions: DataFrame, notes: str = "", **parts: dict) -> None:
+    """A new run folder, all of it where Spark writes: predictions as JSON lines by the executors, small parts as JSON and the
+    notes by the driver. A folder that has a part already is refused."""
+    spark = predictions.sparkSession
+    predictions.write.json(f"{folder}/predictions.jsonl")
     for name, part in parts.items():
-        with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
-            json.dump(part, f, ensure_ascii=False, indent=2, sort_keys=True, default=str)
+        put_text(spark, f"{folder}/{name}.json", json.dumps(part, ensure_ascii=False, indent=2, sort_keys=True, default=str))
+    put_text(spark, f"{folder}/notes.md", notes)
+
+
+#: Fields of a manifest of sources and of a project's settings that operators read; others are ignored.
+SOURCES = "sources array<struct<source_id string, version string, revision string, url string, sha256 string, license string>>"
+
+
+def source_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row a source of a manifest; missing fields are null."""
+    return json_document(spark, path, SOURCES).select(F.inline("sources"))
+
+
+def settings(spark: SparkSession, path: str, schema: str) -> dict:
+    """The settings of one JSON document under a schema, nested, as a dictionary; the driver gets this one row."""
+    return json_document(spark, path, schema).first().asDict(recursive=True)
+
+
+def unnested(doc: DataFrame, array: str, *fields: str) -> DataFrame:
+    """The elements of a nested array as rows ``(position, fields ...)``; null and empty arrays give none."""
+    e = doc.select(F.posexplode(array).alias("position", "e"))
+    return e.select("position", *(F.col(f"e.{f}").alias(f.replace(".", "_")) for f in fields))
