@@ -51,6 +51,12 @@ units as (select distinct 'url_audit' as f, record_id as id, label || '|' || sce
 t as (select f, count(distinct id) as total from units group by f), n as (select f, c, count(distinct id) as n from units group by f, c)
 select draw_from, category from sample_target join t on draw_from = t.f left join n on n.f = draw_from and n.c = category
 where coalesce(n, 0) < min_rows or coalesce(n, 0) * 1000000 < share_bp * draw_pct * total""",
+    "p3_report": f"""with {URLS},
+units as (select distinct 'url_audit' as f, record_id as id, label || '|' || scenario as c from u where record_id is not null union all select 'pilot_profile', row_idx, {category('lang')} from pilot_profile),
+one as (select f, id, min(c) as c from units group by f, id), t as (select f, count(*) as total from one group by f), n as (select f, c, count(*) as n from one group by f, c),
+r as (select draw_from, category, coalesce(n, 0) as available, greatest(cast(ceil(share_bp * draw_pct * total / 1000000) as bigint), min_rows) as wanted, coalesce(n, 0) < min_rows or coalesce(n, 0) * 1000000 < share_bp * draw_pct * total as short
+  from sample_target join t on draw_from = t.f left join n on n.f = draw_from and n.c = category)
+select draw_from, category, available, wanted, least(available, wanted) as drawn, least(available, wanted) - wanted as residual, short from r""",
     "p4_found": f"select field_name, field_value from ({_MARKS}) where mark is not null",
     "p4_counts": _MARKS,
     "p4_changed": _CHANGED,

@@ -55,7 +55,7 @@ def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hosted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Record, host and split of every delivery, its host read once."""
-    return write_table(url_records(spark, sf_dir).select("record_id", "host", "split", *more).distinct(), "hosted")
+    return write_table(url_records(spark, sf_dir).select("record_id", "host", "split", *more), "hosted")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
