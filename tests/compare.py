@@ -2,6 +2,7 @@
 
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -18,7 +19,7 @@ def tables():
 
 
 def _key(r):
-    return tuple(f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).replace("+00:00", "") for v in r)
+    return tuple(f"{float(v):.6f}" if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v).replace("+00:00", "") for v in r)
 
 
 def check(spark, con, name):

@@ -29,14 +29,19 @@ def threshold_table(scored: DataFrame) -> DataFrame:
     return got.select("score", "p", "tp", "fp", F.lit(every["n_pos"]).cast("long").alias("n_pos"), F.lit(every["n_neg"]).cast("long").alias("n_neg"))
 
 
-def threshold_at(scored: DataFrame, target_fpr: float) -> DataFrame:
-    """One row: the threshold with most true positives whose false-positive rate is within the target, the higher of
-    equals; ``undefined_reason`` where there is none (``no_benign``, ``no_phishing``, ``no_feasible``)."""
-    t = threshold_table(scored)
-    ok = (F.col("fp") <= F.col("n_neg") * F.lit(target_fpr)) & (F.col("n_neg") > 0) & (F.col("tp") > 0)
-    best = t.agg(F.max(F.when(ok, F.struct("tp", "score", "fp"))).alias("b"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+def thresholds(scored: DataFrame, target_fprs: list[float]) -> DataFrame:
+    """A row a target: the threshold with most true positives whose false-positive rate is within it, the higher of equals;
+    ``undefined_reason`` where there is none (``no_benign``, ``no_phishing``, ``no_feasible``). The table of counts is built once."""
+    ok = lambda fpr: (F.col("fp") <= F.col("n_neg") * F.lit(fpr)) & (F.col("n_neg") > 0) & (F.col("tp") > 0)
+    best = threshold_table(scored).agg(*(F.max(F.when(ok(x), F.struct("tp", "score", "fp"))).alias(f"b{i}") for i, x in enumerate(target_fprs)), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+    per = best.select("n_pos", "n_neg", F.inline(F.array(*(F.struct(F.lit(x).alias("target_fpr"), F.col(f"b{i}").alias("b")) for i, x in enumerate(target_fprs)))))
     why = F.when(F.coalesce("n_neg", F.lit(0)) == 0, "no_benign").when(F.coalesce("n_pos", F.lit(0)) == 0, "no_phishing").when(F.col("b").isNull(), "no_feasible")
-    return best.select(F.lit(target_fpr).alias("target_fpr"), F.col("b.score").alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"), "n_pos", "n_neg", why.alias("undefined_reason"))
+    return per.select("target_fpr", F.col("b.score").alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"), "n_pos", "n_neg", why.alias("undefined_reason"))
+
+
+def threshold_at(scored: DataFrame, target_fpr: float) -> DataFrame:
+    """:func:`thresholds` for one target."""
+    return thresholds(scored, [target_fpr])
 
 
 def rates() -> list[Column]:

@@ -350,14 +350,13 @@ from (select max(case when fp <= n_neg * {fpr} and tp > 0 then struct_pack(tp :=
 
 @query(f"with {_S}, {_T} {_at_sql(0.01)} union all {_at_sql(0.05)}")
 def threshold_at_fpr(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d)
-    return metrics.threshold_at(s, 0.01).unionByName(metrics.threshold_at(s, 0.05))
+    return metrics.thresholds(_scored(spark, d), [0.01, 0.05])
 
 
 @query(f"with {_S.replace('floor(l_extendedprice / 1000) as score', 'l_discount as score')}, {_T} {_at_sql(0.01)} union all {_at_sql(0.05)}")
 def threshold_undefined(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).drop("score").withColumnRenamed("discount", "score")
-    return metrics.threshold_at(s, 0.01).unionByName(metrics.threshold_at(s, 0.05))
+    return metrics.thresholds(s, [0.01, 0.05])
 
 
 _CELLS = "count(*) filter (label = 1 and score >= 90) as tp, count(*) filter (label = 1 and score < 90) as fn, count(*) filter (label = 0 and score >= 90) as fp, count(*) filter (label = 0 and score < 90) as tn"

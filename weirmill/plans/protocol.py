@@ -16,7 +16,7 @@ from weirmill.plans.sql import URLS
 from weirmill.plans.sql import category as category_sql
 from weirmill.plans.sql import host as host_sql
 from weirmill.plans.sql import label as label_sql
-from weirmill.plans.tables import table, url_records
+from weirmill.plans.tables import table, url_records, url_values
 from weirmill.session import checked_broadcast, write_table
 
 _ORG = "om as (select name, min(org_id) as org_id from (select org_id, lower(unnest(list_concat([display_name], aliases, service_names))) as name from dictionary) group by name)"
@@ -81,7 +81,7 @@ def challenge_sources(spark: SparkSession, d: str) -> DataFrame:
     """Feeds of benign records only are a challenge set of their own, never pooled."""
     y = F.when(F.col("label") == "phishing", 1).when(F.col("label") == "benign", 0)
     feed = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("scenario", F.lit("none")))
-    return groups.source_roles(url_records(spark, d).select(feed.alias("feed"), y.alias("y")), "feed", "y")
+    return groups.source_roles(url_values(spark, d).select(feed.alias("feed"), y.alias("y")), "feed", "y")
 
 
 @query("""with s as (select label, case when text_chars > 0 then password_inputs + forms end as score from pilot_profile)
@@ -270,7 +270,7 @@ r as (select *, row_number() over (partition by source, month, label, tier order
 def planned_sample(spark: SparkSession, d: str) -> DataFrame:
     """A twentieth of the records of every source, month, class and tier, by rule and never by a model's result."""
     first = F.min(F.struct("ingested_at", "source", "label", "tier", "day")).alias("f")
-    u = url_records(spark, d).filter("record_id is not null").groupBy("record_id").agg(first).select("record_id", "f.source", F.trunc("f.day", "month").alias("month"), "f.label", "f.tier")
+    u = url_values(spark, d).filter("record_id is not null").groupBy("record_id").agg(first).select("record_id", "f.source", F.trunc("f.day", "month").alias("month"), "f.label", "f.tier")
     return groups.stratified(u, "record_id", ["source", "month", "label", "tier"], 0.05, 42)
 
 

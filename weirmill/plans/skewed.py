@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirmill.operators.skew import two_stage
 from weirmill.plans.sql import URLS
-from weirmill.plans.tables import url_records
+from weirmill.plans.tables import url_records, url_values
 
 
 def p6_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,7 @@ def p6_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each host and source held by at least one in a hundred of all records."""
-    u = url_records(spark, sf_dir)
-    total = u.select(F.count_distinct("record_id").alias("n")).first()["n"]
+    total = url_values(spark, sf_dir).select(F.count_distinct("record_id").alias("n")).first()["n"]
     return p6_key_results(spark, sf_dir).filter(F.col("records") * 100 >= total).filter("records > 0").select("field_name", "field_value")
 
 
