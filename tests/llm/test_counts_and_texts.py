@@ -97,7 +97,7 @@ def test_a_failed_batch_changes_nothing(spark, monkeypatch):
     assert {tuple(r) for r in frequency.TermCounts(spark, path, ["a"]).counts().filter("field = 'a'").collect()} == {("a", "x", 1, 1), ("a", "y", 1, 1)}
 
 
-def test_bitmaps_are_exact_and_merge(spark):
+def test_bitmaps_are_exact_and_merge(spark, monkeypatch):
     rnd = random.Random(8)
     rows = [(rnd.choice([1, 2, 3, None]), rnd.choice(["s", "t", None]), f"h{rnd.randrange(5000)}" if rnd.random() < 0.95 else None) for _ in range(6000)]
     df = spark.createDataFrame(rows, "day int, src string, host string").withColumn("bucket", F.lit(1))
@@ -108,12 +108,20 @@ def test_bitmaps_are_exact_and_merge(spark):
             for k in (("day+src", d, s), ("day", d, None), ("src", None, s), ("", None, None)):
                 want.setdefault(k, set()).add(h)
     assert got == {k: len(v) for k, v in want.items()}
-    codes = [r.code for r in bitmaps.dictionary(df.filter("host is not null"), "host", "day").collect()]
-    assert sorted(codes) == list(range(len(codes)))
+    monkeypatch.setattr(bitmaps, "PART_ROWS", 500)
+    codes = [(r.bucket, r.bit) for r in bitmaps.dictionary(df, ["day", "src"], "host", "day").collect()]
+    assert len(set(codes)) == len(codes) == len({h for _, _, h in rows if h})
+    parts_of = {}
+    for bucket, bit in codes:
+        parts_of.setdefault(bucket >> 24, []).append((bucket & 0xFFFFFF) * bitmaps.WIDTH + bit)
+    assert len(parts_of) > 4 and all(sorted(v) == list(range(len(v))) for v in parts_of.values())  # dense within a part
+    assert {(r.grouping, r.day, r.src): r.distinct_count for r in bitmaps.distinct_counts(df, ["day", "src"], "host", "day").collect()} == got
     parts = bitmaps.containers(df, ["day", "src"], "host", "day").filter("src is not null").persist()
     by = bitmaps.merge(parts, ["src"]).persist()
     both = bitmaps.common(by.filter("src = 's'"), by.filter("src = 't'")).first().common_count
     assert both == len({h for _, s, h in rows if s == "s" and h} & {h for _, s, h in rows if s == "t" and h})
+    every = {(r.a, r.b): r.common_count for r in bitmaps.common_of_all(by, "src").collect()}
+    assert every == {("s", "t"): both}
     twice = bitmaps.merge(parts.unionAll(parts), ["day", "src"])
     assert {tuple(r) for r in bitmaps.count(twice, ["src"]).collect()} == {tuple(r) for r in bitmaps.count(parts, ["src"]).collect()}
     assert bitmaps.distinct_counts(df.limit(0), ["day", "src"], "host", "day").filter("distinct_count > 0").count() == 0

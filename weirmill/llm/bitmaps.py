@@ -1,9 +1,9 @@
 """Exact distinct counts by compressed bitmaps that can be merged; the error bound is zero.
 
-Identifiers are dictionary-encoded to dense whole numbers in the order of the day they first occur on, so that the
-numbers of one day lie together. The numbers of each day and group are set in bitmaps cut into buckets of ``WIDTH``
-bits; only buckets that hold a bit exist. Bitmaps of coarser groups are the OR of finer ones, hosts common to two
-groups their AND, and a count is a count of bits.
+Identifiers are dictionary-encoded to whole numbers by the day they first occur on: within a part of a day they are dense
+from 0 on, and every part has a range of its own, so that the numbers of one day lie together. The numbers of each day and
+group are set in bitmaps cut into buckets of ``WIDTH`` bits; only buckets that hold a bit exist. Bitmaps of coarser groups
+are the OR of finer ones, identifiers common to two groups their AND, and a count is a count of bits.
 
 Defined results: a null identifier is none; a null day or group is a group of its own; repeated rows change nothing.
 """
@@ -12,27 +12,38 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirmill.llm.ordered import seeded
-from weirmill.session import write_table
+from weirmill.session import checked_broadcast, write_table
 
 #: Bits of a bucket; at most the 32,768 of Spark's own bitmaps. A container takes an eighth as many bytes.
 WIDTH = 2048
-#: Parts a day's identifiers are numbered in, so that a busy day is spread.
-PARTS = 64
+#: A day is numbered in one part for so many of its rows, in 4,096 at most.
+PART_ROWS, MOST_PARTS = 200_000, 4096
 
 
-def dictionary(df: DataFrame, ident: str, day: str) -> DataFrame:
-    """``(ident, code)``: dense numbers from 0 on, by first day. Numbers are given within parts of a day; where a part
-    begins comes from a table with a row a day and part."""
-    first = df.groupBy(ident).agg(F.min(day).alias("d")).withColumn("p", F.pmod(seeded(F.col(ident), seed=5), F.lit(PARTS)).cast("int"))
-    sizes = first.groupBy("d", "p").agg(F.count("*").alias("n"))
-    starts = sizes.select(F.col("d").alias("d2"), F.col("p").alias("p2"), F.coalesce(F.sum("n").over(W.orderBy("d", "p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rank = first.withColumn("r", F.row_number().over(W.partitionBy("d", "p").orderBy(ident)) - 1)
-    return rank.join(starts, F.col("d").eqNullSafe(F.col("d2")) & (F.col("p") == F.col("p2"))).select(ident, (F.col("start") + F.col("r")).cast("long").alias("code"))
+def _number(df: DataFrame, day: str) -> Column:
+    """A whole number for each day (a date, a time or a whole number), -1 for null."""
+    c = F.unix_date(F.to_date(day)) if dict(df.dtypes)[day].startswith(("date", "timestamp")) else F.col(day)
+    return F.coalesce(c.cast("long"), F.lit(-1))
+
+
+def dictionary(df: DataFrame, keys: list[str], ident: str, day: str) -> DataFrame:
+    """``(ident, cells, bucket, bit)``: the number of each identifier, in two parts, and the distinct ``keys`` it occurs under.
+
+    One shuffle brings an identifier's keys together (distinct ones only, there are no more than days times groups) and one
+    its day's part. A busy day has parts in proportion to its rows, counted before from the day alone."""
+    known = df.filter(F.col(ident).isNotNull()).select(*keys, ident, _number(df, day).alias("__n"))
+    sizes = df.groupBy(_number(df, day).alias("__m")).agg(F.least(F.ceil(F.count("*") / PART_ROWS), F.lit(MOST_PARTS)).cast("int").alias("__parts"))  # a row a day
+    first = known.groupBy(ident).agg(F.collect_set(F.struct(*keys)).alias("cells"), F.min("__n").alias("__n"))
+    first = first.join(checked_broadcast(sizes), F.col("__n") == F.col("__m"))
+    first = first.withColumn("__p", F.pmod(seeded(F.col(ident), seed=5), F.col("__parts")))
+    rank = F.row_number().over(W.partitionBy("__n", "__p").orderBy(ident)) - 1
+    at = F.shiftleft(F.col("__n") + F.lit(1 << 26), 36) + F.shiftleft(F.col("__p").cast("long"), 24)
+    return first.withColumn("__r", rank).select(ident, "cells", (at + F.floor(F.col("__r") / WIDTH)).alias("bucket"), (F.col("__r") % WIDTH).cast("long").alias("bit"))
 
 
 def _trim(bits):
@@ -41,9 +52,7 @@ def _trim(bits):
 
 def containers(df: DataFrame, keys: list[str], ident: str, day: str) -> DataFrame:
     """``(keys ..., bucket, bits)``: the partial results. ``day`` is one of the keys."""
-    cells = df.filter(F.col(ident).isNotNull()).select(*keys, ident).distinct()
-    cells = write_table(cells, "cells")
-    coded = cells.join(dictionary(cells, ident, day), ident).select(*keys, F.floor(F.col("code") / WIDTH).alias("bucket"), (F.col("code") % WIDTH).alias("bit"))
+    coded = dictionary(df, keys, ident, day).select(F.inline("cells"), "bucket", "bit")
     placed = coded.repartition(*keys, "bucket")  # rows of a few bytes move, not bitmaps being built
     return placed.groupBy(*keys, "bucket").agg(_trim(F.bitmap_construct_agg("bit")).alias("bits"))
 
@@ -58,6 +67,16 @@ def count(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).cast("long").alias("distinct_count"))
 
 
+def common_of_all(parts: DataFrame, group: str) -> DataFrame:
+    """``(a, b, common_count)`` for each two groups, the smaller first, that have identifiers in common: AND of their bitmaps,
+    bucket by bucket. Groups are categories: a bucket holds a bitmap of each. ``parts`` must not hold a bucket of a group twice."""
+    p = parts.filter(F.col(group).isNotNull())
+    a, b = (p.select("bucket", F.col(group).alias(n), F.col("bits").alias(f"bits_{n}")) for n in "ab")
+    both = a.join(b, "bucket").filter("a < b").select("a", "b", "bucket", F.explode(F.array("bits_a", "bits_b")).alias("bits"))
+    shared = both.groupBy("a", "b", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    return shared.groupBy("a", "b").agg(F.sum(F.bitmap_count(_trim(F.col("bits")))).cast("long").alias("common_count")).filter("common_count > 0")
+
+
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: identifiers in both of two merged results, by AND of their bitmaps."""
     both = a.select("bucket", "bits").unionAll(b.select("bucket", "bits")).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))

@@ -15,7 +15,8 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmill.functions.text import category
@@ -26,18 +27,22 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CELL_ROWS = 50_000
 #: Source shares are in this many parts; flows are in tokens times it, so that quotas are whole.
 PARTS = 10_000
+#: A membership pattern is a set of bits in a long; more targets are refused, none is left out.
+MOST_SOURCES = 62
 
 
 def tokenizer_lengths(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of each text under a public tokenizer's file; 0 for null. The file must be there on every executor."""
+    """Tokens of each text under a public tokenizer's file; 0 for null. The driver's file is handed to every executor."""
+    SparkSession.active().sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     @F.pandas_udf("long")
     def lengths(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
-        t = _tokenizers.get(path)
+        t = _tokenizers.get(name)
         if t is None:
-            t = _tokenizers[path] = Tokenizer.from_file(path)
+            t = _tokenizers[name] = Tokenizer.from_file(SparkFiles.get(name))
             t.encode_special_tokens = True
         return pd.Series([len(e) for e in t.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
 
@@ -103,8 +108,8 @@ def plan(docs: DataFrame, targets: DataFrame, tokens: Column) -> Plan:
     wish = targets.groupBy(category(F.col("source")).alias("source")).agg(F.sum("share_bp").cast("long").alias("bp"), F.max("max_repeat").cast("long").alias("most")).filter("source is not null").collect()
     want = {r["source"]: (r["bp"] or 0, r["most"] or 0) for r in sorted(wish, key=lambda r: r["source"])}
     names = sorted(want)
-    if len(names) > 62:
-        raise ValueError("more than 62 sources")
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     d = docs.filter(F.col("doc_id").isNotNull()).withColumn("s", category(F.col("source"))).filter(F.col("s").isin(names))
     d = d.select("doc_id", F.col("s").alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_id")).filter("tokens > 0")
     d = write_table(d.groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "text_id")).alias("v")).select("doc_id", "v.*"), "mix_documents")

@@ -66,6 +66,7 @@ c as (select word, count(*) as occurrences, count(distinct doc_id) as documents
 select concat_ws('+', case when grouping(day) = 0 then 'day' end, case when grouping(source) = 0 then 'source' end, case when grouping(scenario) = 0 then 'scenario' end) as "grouping",
   day, source, scenario, count(distinct host) as distinct_count, 0 as error_bound
 from u where host is not null group by cube (day, source, scenario)""",
+    "p5_common": f"with {URLS}, h as (select distinct source, host from u where source is not null and host is not null) select a.source as source_a, b.source as source_b, count(*) as common_count from h a join h b on a.host = b.host and a.source < b.source group by all",
     "p8_found": f"""with d as (select distinct doc_id, {category('source')} as s, case when text is null then 0 else len(list_filter(regexp_split_to_array(text, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200b}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{2060}}\\x{{feff}}\\x{{180e}}]+'), lambda x: x <> '')) end as n from documents),
 m as (select source, share_bp, max_repeat, coalesce(sum(n), 0) as own from mix_target left join d on s = source group by all), t as (select sum(own) as total from m)
 select source from m, t where share_bp * total > 10000 * max_repeat * own""",

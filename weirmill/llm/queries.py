@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirmill.functions.hosts import host, with_registrable
 from weirmill.functions.text import blank_pieces, category
 from weirmill.llm import bitmaps, frequency, leak, mixing, overlap, sample, skeleton, splits
-from weirmill.plans.tables import table, url_records
+from weirmill.plans.tables import table, url_records, url_values
 from weirmill.session import scratch_path, write_table
 
 FIELDS = ["source", "scenario", "tier", "label"]
@@ -86,7 +86,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _draws(spark: SparkSession, sf_dir: str):
     targets = table(spark, sf_dir, "sample_target")
-    u = url_records(spark, sf_dir)
+    u = url_values(spark, sf_dir)
     p = table(spark, sf_dir, "pilot_profile")
     units = {
         "url_audit": u.select(F.col("record_id").alias("id"), F.concat("label", F.lit("|"), "scenario").alias("category")),
@@ -114,8 +114,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_records(spark, sf_dir).select(F.col("record_id").alias("record"), *FIELDS, "host", "ingested_at")
+def _delivered(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("record_id").alias("record"), *FIELDS, *(c for c in rows.columns if c == "host"), "ingested_at")
 
 
 def _store(spark: SparkSession, fields: list[str], rows: int) -> frequency.TermCounts:
@@ -134,7 +134,7 @@ def _batches(rows: DataFrame) -> tuple[list[DataFrame], int]:
 
 def _counts(spark: SparkSession, sf_dir: str) -> frequency.TermCounts:
     """The store after three batches of deliveries."""
-    batches, n = _batches(_delivered(spark, sf_dir).drop("host"))
+    batches, n = _batches(_delivered(url_values(spark, sf_dir)))
     store = _store(spark, FIELDS, n)
     for rows in batches:
         store.apply(rows.select("record", *FIELDS, F.lit("add").alias("op")))
@@ -159,7 +159,7 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts where later deliveries replace a record's earlier ones and records whose last delivery names no host are
     deleted: the same three batches, then the deletions."""
-    rows = _delivered(spark, sf_dir)
+    rows = _delivered(url_records(spark, sf_dir))
     batches, n = _batches(rows.filter("record is not null"))
     store = _store(spark, FIELDS, n)
     last = F.max(F.struct("ingested_at", *FIELDS, "host")).alias("last")  # of a record's deliveries in a batch
@@ -186,6 +186,14 @@ def p5_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmaps.distinct_counts(u, ["day", "source", "scenario"], "host", "day").withColumn("error_bound", F.lit(0))
 
 
+def p5_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that each two sources have in common."""
+    u = url_records(spark, sf_dir).select("day", "source", "host")
+    parts = bitmaps.merge(bitmaps.containers(u, ["day", "source"], "host", "day"), ["source"])
+    got = bitmaps.common_of_all(write_table(parts, "bitmaps"), "source")
+    return got.select(F.col("a").alias("source_a"), F.col("b").alias("source_b"), "common_count")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they share at least twelve consecutive words with."""
     return leak.pairs(_leaks(spark, sf_dir))
@@ -235,4 +243,4 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", skeleton.one_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_linked, p2_found, p2_host_pairs, p2_similar, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_counts, p4_changed, p4_terms, p5_distinct_hosts, p7_found, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_report, p1_linked, p2_found, p2_host_pairs, p2_similar, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_counts, p4_changed, p4_terms, p5_distinct_hosts, p5_common, p7_found, p7_items, p8_found, p8_mix, p8_report, p9_found, p9_classes, p9_forms)}
