@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from weirmill.session import checked_broadcast
 
 #: Characters that read as another within names.
 CONFUSED, READ_AS = "01", "oi"
+#: Cells of the filter of first words of names.
+FIRST_CELLS = 1 << 12
 
 
 def plain(c: Column) -> Column:
@@ -47,15 +51,18 @@ def _names(dictionary: DataFrame) -> DataFrame:
 
 
 def alias_readings(docs: DataFrame, ident: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``(id, org_id, alias, reading, occurrences)`` of names on word boundaries: word runs of the lengths there are,
-    joined by equality with the names; never a scan of every name in every text. Both sides are brought to one spelling;
-    ``no_accents`` compares both without accents, so it holds what ``written`` holds."""
+    """``(id, org_id, alias, reading, occurrences)`` of names on word boundaries: word runs of the lengths there are, from words
+    a name may begin with, joined by equality with the names; never a scan of every name in every text. Which words those are is
+    told by a filter of fixed size, which may let others through. Both sides are brought to one spelling; ``no_accents`` compares
+    both without accents, so it holds what ``written`` holds."""
     a = _names(dictionary)
-    lengths = sorted(r["n_words"] for r in a.select("n_words").distinct().collect())
-    if not lengths:
-        lengths = [1]
-    w = docs.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), _readings(F.col(text)))
-    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
+    cell = lambda w: F.pmod(F.xxhash64(w), F.lit(FIRST_CELLS)).cast("int")
+    known = a.agg(F.collect_set("n_words").alias("lengths"), F.collect_set(cell(F.substring_index("run", " ", 1))).alias("cells")).first()  # at most FIRST_CELLS numbers
+    lengths, cells = sorted(known["lengths"]) or [1], set(known["cells"])
+    may = F.from_json(F.lit(json.dumps([i in cells for i in range(FIRST_CELLS)])), "array<boolean>")  # a constant
+    w = docs.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), _readings(F.col(text))).filter(F.size("w") > 0)
+    w = w.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.get(may, cell(F.get("w", i - 1))))).filter(F.size("at") > 0)
+    runs = lambda n: F.transform(F.filter("at", lambda i: i <= F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))
     grams = w.select("id", "reading", F.explode(F.concat(*(runs(n) for n in lengths))).alias("run"))
     return grams.join(checked_broadcast(a.drop("n_words")), ["reading", "run"]).groupBy("id", "org_id", "alias", "reading").agg(F.count("*").alias("occurrences"))
 

@@ -11,7 +11,7 @@ from weirmill.functions.hosts import host, with_registrable
 from weirmill.functions.text import category, char_ngrams, claims, requests
 from weirmill.functions.text import label as label_of
 from weirmill.operators import audit, contract, groups, matching, metrics, service
-from weirmill.plans.core import _PSL, _S, _scored, query
+from weirmill.plans.core import _NEAR, _PSL, _S, _scored, query
 from weirmill.plans.sql import URLS
 from weirmill.plans.sql import category as category_sql
 from weirmill.plans.sql import host as host_sql
@@ -431,3 +431,44 @@ def response_check(spark: SparkSession, d: str) -> DataFrame:
     got = service.respond(r, score, 0.6, signals, model, F.when(F.col("org_id").isNull(), "not_applicable").otherwise("unverified"))
     return got.agg(F.count("*").alias("responses"), F.count_if(contract.response_error(F.col("response")).isNotNull()).cast("int").alias("wrong"), (F.count("response") == F.count("*")).alias("every_page"))
 
+
+
+@query(r"""with c as (select html, len(regexp_extract_all(html, '(?i)<script[ >]')) = 0 as bare from (select distinct sha256, html from corpus) where html is not null)
+select 'forms' as element, count(*) as pages, count(*) as reproducible from c union all select 'inputs', count(*), count(*) from c union all select 'iframes', count(*), count(*) from c union all select 'scripts', count(*), count(*) filter (bare) from c""")
+def sanitized_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose element counts come out the same from the sanitised page: only such counts may be features."""
+    c = table(spark, d, "corpus").filter("html is not null").select("sha256", "html").distinct().withColumn("clean", html.sanitize(F.col("html")))
+    c = c.select(html.profile(F.col("html")).alias("a"), html.profile(F.col("clean")).alias("b"), *(F.regexp_count(h, F.lit("(?i)<script[ >]")).alias(f"{h}_scripts") for h in ("html", "clean")))
+    same = {k: F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("forms", "inputs", "iframes")} | {"scripts": F.col("html_scripts") == F.col("clean_scripts")}
+    got = c.agg(F.count("*").alias("pages"), *(F.count_if(x).alias(k) for k, x in same.items()))
+    return got.select(F.inline(F.array(*(F.struct(F.lit(k).alias("element"), F.col("pages"), F.col(k).alias("reproducible")) for k in same))))
+
+
+_REG = """l0 as (select host, string_split(host, '.') as l from h), l1 as (select host, l, k, array_to_string(l[len(l) - k + 1:], '.') as suffix from (select host, l, unnest(range(1, len(l) + 1)) as k from l0)),
+l2 as (select l1.host, any_value(l) as l, max(case when kind = 'rule' then k when kind = 'wildcard' and len(l) > k then k + 1 end) as n, max(case when kind = 'exception' then k end) as e from l1 join psl on l1.suffix = psl.suffix group by l1.host),
+reg as (select host, case when e is not null then array_to_string(l[len(l) - e + 1:], '.') when n < len(l) then array_to_string(l[len(l) - n:], '.') end as registrable from l2)"""
+
+
+@query(f"""with recursive {_NEAR}, u as (select doc_id, {host_sql('domain')} as host from documents), h as (select distinct host from u where host is not null), {_REG},
+copies as (select doc_id as x, min(doc_id) over (partition by text) as y from documents where text is not null), near_domain as (select doc_id as x, min(doc_id) over (partition by registrable) as y from u join reg on u.host = reg.host where registrable is not null),
+one as (select id_a as x, id_b as y from near union select x, y from copies union select x, y from near_domain), links as (select x, y from one union select y, x from one union select doc_id, doc_id from documents),
+reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x) select x as id, min(y) as group_id from reach group by x""")
+def related_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents joined by registrable domain, by equal or by nearly equal text, over any number of steps: whole groups go to
+    one side of a split. A domain's documents are linked to its first one, not to each other."""
+    t = table(spark, d, "documents")
+    h = with_registrable(t.select("doc_id", host(F.col("domain")).alias("host")), "host", table(spark, d, "psl")).filter("registrable is not null")
+    first = h.groupBy(F.col("registrable").alias("r")).agg(F.min("doc_id").alias("id_b"))
+    domains = h.join(first, F.col("registrable") == F.col("r")).select(F.col("doc_id").alias("id_a"), "id_b")
+    copies = groups.exact_duplicates(t, "doc_id", "text").select(F.col("id").alias("id_a"), F.col("class_id").alias("id_b"))
+    edges = domains.unionByName(copies).unionByName(groups.near_duplicates(t, "doc_id", "text").select("id_a", "id_b"))
+    return groups.components(t.select(F.col("doc_id").alias("id")), edges)
+
+
+@query("""with n as (select user_id as navigation_id, event_id as dom_revision, case when event_type = 'view' then 0 else 1 end as phase, ts from events)
+select navigation_id, min(ts) filter (phase = 0) as preliminary_at, min(ts) filter (phase = 1) as content_at, case when max(phase) = 1 then 'url_content' else 'url_only' end as assessed_by from n group by navigation_id""")
+def phase_progress(spark: SparkSession, d: str) -> DataFrame:
+    """When each navigation had its preliminary and its content result: by address alone it is never more than preliminary."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("navigation_id"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("phase"), "ts")
+    at = lambda p: F.min(F.when(F.col("phase") == p, F.col("ts")))
+    return e.groupBy("navigation_id").agg(at(0).alias("preliminary_at"), at(1).alias("content_at"), F.when(F.max("phase") == 1, "url_content").otherwise("url_only").alias("assessed_by"))
