@@ -108,7 +108,7 @@ def _edit_bounds(of: np.ndarray, w2: np.ndarray, n: np.ndarray, q: int, most: fl
 
 
 def _prefixes(texts: list[str], weights: np.ndarray, q: int, threshold: float | None, most: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Text, offset and hash of each gram to be entered in the lists.
+    """Text, offset and hash of each gram to be entered in the lists, length and squared norm of its text.
 
     The terms of a vector stand in the order rarest first, the same for all vectors, so the first term two vectors share
     has all they share behind it on both sides. It is entered if what is behind it can reach the threshold: by its norm,
@@ -143,7 +143,7 @@ def _prefixes(texts: list[str], weights: np.ndarray, q: int, threshold: float |
     else:
         reach = np.concatenate([[0.0], np.cumsum(np.sqrt(w2) * most[cell])])
         keep &= (reach[(first + n)[of]] - reach[:-1]) / np.sqrt(norm2) >= threshold - slack  # maximum weight
-    return of[keep], at[keep], h[keep], np.fromiter(map(len, texts), np.int64, len(texts))[of[keep]]
+    return of[keep], at[keep], h[keep], np.fromiter(map(len, texts), np.int64, len(texts))[of[keep]], norm2[keep]
 
 
 def _entries(weights, text: str, q: int, several: bool):
@@ -153,7 +153,7 @@ def _entries(weights, text: str, q: int, several: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weights.value
         for b in batches:
-            of, at, h, n = _prefixes(b[text].tolist(), w, q, None)
+            of, at, h, n, _ = _prefixes(b[text].tolist(), w, q, None)
             ids = b["id"].to_numpy()[of]
             keys, out = [], []
             for longer, later in ((0, 0), (-1, 0), (-1, -1), (1, 0), (1, 1)) if several else ((0, 0),):
@@ -165,12 +165,12 @@ def _entries(weights, text: str, q: int, several: bool):
 
 
 def _lists(weights, most, text: str, q: int, threshold: float):
-    """mapInPandas: ``(key, id)`` of every list a vector is entered in."""
+    """mapInPandas: ``(key, id, norm2)`` of every list a vector is entered in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            of, _, h, _ = _prefixes(b[text].tolist(), weights.value, q, threshold, most.value)
-            yield pd.DataFrame({"key": h.view(np.int64), "id": b["id"].to_numpy()[of]})
+            of, _, h, _, norm2 = _prefixes(b[text].tolist(), weights.value, q, threshold, most.value)
+            yield pd.DataFrame({"key": h.view(np.int64), "id": b["id"].to_numpy()[of], "norm2": norm2})
 
     return run
 
@@ -211,9 +211,13 @@ def _sides(left: DataFrame, right: DataFrame, q: int):
     return sides, left.sparkSession.sparkContext.broadcast(weights)
 
 
-def _pairs(sides: list[DataFrame], lists: list[DataFrame]) -> DataFrame:
-    """``(a, b)`` of the strings that meet in a list."""
-    found = lists[0].withColumnRenamed("id", "ia").join(lists[1].withColumnRenamed("id", "ib"), "key").select("ia", "ib").distinct()
+def _pairs(sides: list[DataFrame], lists: list[DataFrame], ratio: float | None = None) -> DataFrame:
+    """``(a, b)`` of the strings that meet in a list; with ``ratio``, of those whose norms are no
+    further apart: the cosine is at most the smaller norm over the greater."""
+    met = lists[0].withColumnsRenamed({"id": "ia", "norm2": "na"}).join(lists[1].withColumnsRenamed({"id": "ib", "norm2": "nb"}), "key")
+    if ratio is not None:
+        met = met.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio * ratio - 1e-9))
+    found = met.select("ia", "ib").distinct()
     strings = [s.select(F.col("id").alias(i), F.col("text").alias(t)) for s, i, t in zip(sides, ("ia", "ib"), "ab")]
     return found.join(strings[0], "ia").join(strings[1], "ib").select("a", "b")
 
@@ -223,8 +227,8 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, q: int = GR
     whose vectors have at least the cosine ``threshold``. A gram a string has twice counts twice. Complete."""
     sides, weights = _sides(left, right, q)
     sent = [left.sparkSession.sparkContext.broadcast(most_weights(s, "text", weights, q)) for s in sides]
-    lists = [s.mapInPandas(_lists(weights, most, "text", q, threshold), "key long, id long") for s, most in zip(sides, reversed(sent))]
-    scored = _pairs(sides, lists).mapInPandas(_dots(weights, q), SCORED)
+    lists = [s.mapInPandas(_lists(weights, most, "text", q, threshold), "key long, id long, norm2 double") for s, most in zip(sides, reversed(sent))]
+    scored = _pairs(sides, lists, threshold).mapInPandas(_dots(weights, q), SCORED)
     return scored.filter(F.col("cosine") >= threshold).drop("bound")
 
 
