@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weirmill.functions.shingles import plain_words, shingle_hashes, word_hashes
 from weirmill.operators.metrics import hash32
 from weirmill.operators.ordered import running
-from weirmill.session import write_table
+from weirmill.session import scratch_dir, write_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -74,6 +74,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     Minimum labels over edges in both directions with shortcuts; lineage is cut each round in the shared folder. Only
     nodes on edges take part, all others are their own group.
     """
+    scratch_dir(edges.sparkSession)  # where lineage is cut
     e = edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).filter("a <> b")
     e = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).checkpoint()

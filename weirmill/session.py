@@ -19,9 +19,11 @@ def scratch_dir(spark: SparkSession) -> str:
     Only where that setting is absent (tests, local mode) a private temporary folder is used instead.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext.getCheckpointDir()
     if conf:
+        if not held:  # named by the session after the context was made
+            spark.sparkContext.setCheckpointDir(conf)
         return conf.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
@@ -99,17 +101,6 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file, replaced by a rename."""
-    fs, at = _fs(spark, path)
-    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
-    stream = fs.create(part, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(at, False)
-    fs.rename(part, at)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each Spark context."""
     sc = spark.sparkContext
