@@ -39,3 +39,5 @@ def test_values(spark):
     assert got == [("phishing", "phish"), ("phishing", "phishing"), (None, None), (None, None), (None, None), ("phish ing", "phish ing")]
     n = spark.createDataFrame([("a b\n\nc ",), ("",), (None,), ("   ",)], "t string").select(text.blank_pieces(F.col("t")).alias("n")).collect()
     assert [r.n for r in n] == [3, 0, 0, 0]
+    marks = spark.createDataFrame([(n, f"a{chr(n)}b") for n in range(1, 0x11000) if not 0xD800 <= n < 0xE000], "n int, t string")
+    assert {r.n for r in marks.filter(text.blank_pieces(F.col("t")) == 2).collect()} == {ord(c) for c in text.BLANKS}

@@ -33,7 +33,7 @@ def label(c: Column) -> Column:
 
 def blank_pieces(c: Column) -> Column:
     """Number of pieces between blanks of any kind; 0 for null and blank text."""
-    return F.coalesce(F.regexp_count(c, F.lit("[^" + BLANK_CLASS[1:-1] + "]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit("[^\\p{IsWhite_Space}\\x1C-\\x1F\\u180E\\u200B\\u2060\\uFEFF]++")), F.lit(0)).cast("long")
 
 
 def char_ngrams(c: Column, n: int) -> Column:
