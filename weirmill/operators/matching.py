@@ -146,7 +146,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     l_ = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v"), F.struct(*left.columns).alias("__row"))
     r_ = right.filter(F.col(right_time).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
     r_ = r_.select("__k", "__t", F.lit(0).alias("__side"), "__v", F.lit(None).cast(l_.schema["__row"].dataType).alias("__row"))
-    both = carried(ranges(l_.unionByName(r_), "__t"), ["__k"], F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
+    both = carried(ranges(l_.unionByName(r_), "__k", "__t"), ["__k"], F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
     seen = F.last("__v", ignorenulls=True).over(W.partitionBy("__k", "__p").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0))
     got = both.withColumn(out, F.when(F.col("__t").isNotNull(), F.coalesce(seen, F.col("__carry.__v"))))
     return got.filter("__side = 1").select("__row.*", out)

@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirmill.operators.skew import heavy_keys
 from weirmill.session import write_table
 
 RANGES = 64
 
 
-def ranges(df: DataFrame, order: str) -> DataFrame:
-    """Add ``__p``: the number of the range, cut at approximate quantiles of ``order``, a row falls in, nulls in the first.
-    Equal values fall in one range. ``df`` is read twice."""
+def ranges(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Add ``__p``: the number of the range, cut at approximate quantiles of ``order``, a row of a heavy key falls in, nulls and
+    the rows of all other keys in the first. Equal values fall in one range."""
+    heavy = heavy_keys(df, [key])
+    hot = [r[0] for r in heavy.collect()]  # at most 2,000
+    if not hot:
+        return df.withColumn("__p", F.lit(0))
     at = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith(("timestamp", "date")) else F.col(order)
     cuts = df.agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).first()["c"] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + F.coalesce(at > F.lit(c), F.lit(False)).cast("int")
-    return df.withColumn("__p", part)
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < at)), F.lit(0)) if cuts else F.lit(0)
+    marks = heavy.select(F.col(key).alias("__h"), F.lit(True).alias("__hot"))
+    return df.join(F.broadcast(marks), F.col(key) == F.col("__h"), "left").select(*df.columns, F.when(F.col("__hot"), part).otherwise(0).alias("__p"))
 
 
 def carried(df: DataFrame, key: list[str], whole: Column, over: str = "before") -> DataFrame:

@@ -60,14 +60,14 @@ def once(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def stale_discard(df: DataFrame) -> DataFrame:
     """Batch form: add ``stale``, true where an earlier row of the navigation had a revision as new or newer."""
-    d = carried(ranges(df, "ts"), ["navigation_id"], F.col("dom_revision"))
+    d = carried(ranges(df, "navigation_id", "ts"), ["navigation_id"], F.col("dom_revision"))
     before = W.partitionBy("navigation_id", "__p").orderBy("ts", "dom_revision").rowsBetween(W.unboundedPreceding, -1)
     return d.withColumn("stale", F.coalesce(F.greatest(F.max("dom_revision").over(before), "__carry") >= F.col("dom_revision"), F.lit(False))).drop("__p", "__carry")
 
 
 def debounce(df: DataFrame, key: str, time: str, quiet: Column) -> DataFrame:
     """Rows followed by no other of their key within ``quiet`` seconds: the last of each burst."""
-    d = carried(ranges(df, time), [key], F.col(time), "after")
+    d = carried(ranges(df, key, time), [key], F.col(time), "after")
     following = F.coalesce(F.lead(time).over(W.partitionBy(key, "__p").orderBy(time)), F.col("__carry"))
     gap = F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))
     return d.withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") > quiet.cast("long") * 1_000_000)).drop("__gap", "__p", "__carry")
@@ -77,7 +77,7 @@ def outcomes(df: DataFrame, tab: str, start: str, ms: Column, timeout_ms: int =
     """Add ``outcome`` of content requests of which a tab has one at a time: ``superseded`` where the tab's next request starts
     before this one has ended, ``unable_to_assess`` where it takes longer than the client waits or has no duration, else
     ``answered``. A timeout is never a negative."""
-    d = carried(ranges(df.withColumn("__ms", ms), start), [tab], F.col(start), "after")
+    d = carried(ranges(df.withColumn("__ms", ms), tab, start), [tab], F.col(start), "after")
     following = F.coalesce(F.lead(start).over(W.partitionBy(tab, "__p").orderBy(start)), F.col("__carry"))
     gap = F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
     waits = F.least(F.coalesce("__ms", F.lit(timeout_ms)), F.lit(timeout_ms)) * 1000
